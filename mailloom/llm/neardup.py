@@ -24,17 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailloom.llm.shingles import runs, word_hashes
+from mailloom.llm.shingles import distinct_runs, runs, word_hashes
 from mailloom.session import written
 
 GROUPS, SYMBOLS, ERASED = 16, 5, 1
 HOT = 200
 BLOCK = 512
+BROADCAST_ROWS = 2_000_000  # of one long each: 16 MB
 _RNG = np.random.default_rng(20240607)
 MULTIPLIERS = _RNG.integers(1, 2**63, GROUPS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprints(texts: list[str | None], run: int, least: int) -> tuple[np.ndarray, list[bytes | None], np.ndarray]:
+def fingerprints(texts: list[str | None], run: int, least: int, sketch: bool = True) -> tuple[np.ndarray, list[bytes | None], np.ndarray]:
     """Per text: whether it counts (words >= least), the digest of its word sequence, its symbols."""
     symbols = np.zeros((len(texts), len(MULTIPLIERS)), np.uint32)
     digests: list[bytes | None] = [None] * len(texts)
@@ -47,21 +48,24 @@ def fingerprints(texts: list[str | None], run: int, least: int) -> tuple[np.ndar
         counted[at + full] = True
         for i in full:
             digests[at + i] = xxhash.xxh3_128_digest(hashes[ends[i] - counts[i] : ends[i]].tobytes())
-        if len(full):
+        if sketch and len(full):
             starts = (np.cumsum(sizes) - sizes)[full]
             for j, a in enumerate(MULTIPLIERS):
                 symbols[at + full, j] = np.minimum.reduceat(found * a, starts) >> np.uint64(32)
     return counted, digests, symbols
 
 
-def fingerprinted(texts: DataFrame, run: int = 3, least: int = 20) -> DataFrame:
-    """(id, tag, text) to (id, tag, class binary, symbols array<int>) of the texts with at least `least` words."""
+def fingerprinted(texts: DataFrame, run: int = 3, least: int = 20, symbols: bool = True) -> DataFrame:
+    """(id, tag, text) to (id, tag, class binary, symbols array<int>) of the texts with at least `least` words; symbols are empty unless wanted."""
+    sketch = symbols
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counted, digests, symbols = fingerprints(b.column("text").to_pylist(), run, least)
+            counted, digests, found = fingerprints(b.column("text").to_pylist(), run, least, sketch)
             at = np.flatnonzero(counted)
-            flat = pa.array(symbols[at].view(np.int32).ravel())
-            offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * symbols.shape[1])
+            found = found[at] if sketch else found[at, :0]
+            flat = pa.array(found.view(np.int32).ravel())
+            offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * found.shape[1])
             kept = b.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("tag"), pa.array([digests[i] for i in at], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["id", "tag", "class", "symbols"])
 
@@ -105,16 +109,33 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, "token").filter(fits).select("a", "b").distinct()
 
 
+def only(texts: DataFrame, ids: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The texts of the (distinct) ids. Up to broadcast_rows ids (8 bytes each) are broadcast, counted first, so that the texts don't move; more are joined by shuffle."""
+    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, run: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs that reach the threshold; each text is read into its run set once."""
+    """(a, b, similarity) of the candidate pairs that reach the threshold. Only the candidates' texts move."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(run_sets(texts.join(involved, "id", "left_semi"), run), "sets")
-    both = F.size(F.array_intersect("ra", "rb"))
-    similarity = both / (F.size("ra") + F.size("rb") - both)
-    return (
-        pairs.join(sets.toDF("a", "ra"), "a").join(sets.toDF("b", "rb"), "b")
-        .select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
-    )
+    held = written(only(texts.select("id", "text"), written(involved, "involved")).dropDuplicates(["id"]), "involved-texts")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = {}, {}
+            for side in "ab":
+                for i, text in zip(batch.column(side).to_pylist(), batch.column(f"text_{side}").to_pylist()):
+                    ids.setdefault(i, text)
+            sets = {i: distinct_runs(text, run) for i, text in ids.items()}
+            a, b, kept = [], [], []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both and (s := both / (len(sets[x]) + len(sets[y]) - both)) >= threshold:
+                    a.append(x), b.append(y), kept.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kept, pa.float64())], names=["a", "b", "similarity"])
+
+    both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(scan, "a long, b long, similarity double")
 
 
 def similar_classes(records: DataFrame, run: int = 3, least: int = 20, threshold: float = 0.6, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +152,7 @@ def similar_classes(records: DataFrame, run: int = 3, least: int = 20, threshold
     found = cold.toDF("variant", "a", "t").join(cold.select("variant", F.col("rep").alias("b")), "variant").filter("a < b").select("a", "b")
     crowded = hits.filter(F.col("texts") > hot).select(F.col("rep").alias("id")).distinct()
     if not crowded.isEmpty():
-        crowd = written(run_sets(records.select("id", "text").join(crowded, "id", "left_semi").dropDuplicates(["id"]), run), "crowd")
+        crowd = written(run_sets(only(records.select("id", "text"), crowded).dropDuplicates(["id"]), run), "crowd")
         found = found.union(prefix_pairs(crowd, threshold))
     pairs = written(found.distinct(), "candidates")
     members = prints.join(classes.select("class", "rep"), "class").select("id", "tag", "rep")
