@@ -325,7 +325,7 @@ def collected_people(emails: DataFrame, mailboxes: DataFrame) -> str:
     pairs = written(parts, "names")
     given = pairs.filter("owner or partners >= 2").select("given").distinct()
     kept = pairs.join(F.broadcast(given) if given.count() <= 100_000 else given, "given", "left_semi")
-    words = kept.select(F.explode(F.array(F.struct(F.lit("given").alias("part"), F.col("given").alias("word")), F.struct(F.lit("surname"), F.col("surname")))).alias("p"), "c")
+    words = kept.select(F.explode(F.array(F.struct(F.lit("given").alias("part"), F.col("given").alias("word")), F.struct(F.lit("surname").alias("part"), F.col("surname").alias("word")))).alias("p"), "c")
     votes = words.groupBy("p.part", "p.word").agg(F.sum("c").alias("c"))
     votes.groupBy("word").agg(F.max_by("part", "c").alias("part")).filter("length(word) > 1").select("part", "word").coalesce(1).write.json(path)
     return path
