@@ -105,7 +105,7 @@ def clean_body(c: Column, boilerplate: list[str] = (), closings: list[str] = CLO
     else:
         c = before(without_signature(before(c, any_of(list(boilerplate))), closings), THREAD_MARK)
         c = without_entities(F.replace(c, F.lit("\n"), F.lit(" ")))
-    return single_punctuation(single_spaces(c))
+    return stripped(single_punctuation(single_spaces(c)))
 
 
 def is_forward(subject: Column) -> Column:
