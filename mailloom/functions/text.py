@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ MARKUP = r"(?i)</?[a-z][\s\S]*?>|&(?:amp|lt|gt|quot|nbsp);"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c evaluated once, however often body names it: c is bound as the variable of a one-element transform."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """Null as empty."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -47,13 +53,15 @@ def word_pattern(terms: list[str]) -> str | None:
 
 def html_to_text(c: Column) -> Column:
     """Text nodes joined by blanks if there is markup, else the text as it is; scripts and styles are dropped. Null gives empty."""
-    plain = text(c)
-    decoded = plain
-    for entity, char in ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    decoded = F.regexp_replace(decoded, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
-    nodes = F.transform(F.split(decoded, r"<[^>]*>"), stripped)
-    return F.when(plain.rlike(MARKUP), F.array_join(F.filter(nodes, lambda x: x != ""), " ")).otherwise(plain)
+    def nodes(plain: Column) -> Column:
+        decoded = plain
+        for entity, char in ENTITIES.items():
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        decoded = F.regexp_replace(decoded, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
+        kept = F.transform(F.split(decoded, r"<[^>]*>"), stripped)
+        return F.when(plain.rlike(MARKUP), F.array_join(F.filter(kept, lambda x: x != ""), " ")).otherwise(plain)
+
+    return let(text(c), nodes)
 
 
 def without_entities(c: Column) -> Column:
@@ -78,11 +86,13 @@ def before(c: Column, pattern: str | None) -> Column:
 def without_signature(c: Column, terms: list[str] = CLOSINGS, last: int = 12) -> Column:
     """The lines before the first of the last twelve that is nothing but a closing term."""
     pattern = any_of(terms, whole_line=True)
-    lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
-    start = F.greatest(F.lit(0), F.size(lines) - last)
-    marks = F.transform(lines, lambda x, i: F.when((i >= start) & x.rlike(pattern), i))
-    first = F.array_min(F.filter(marks, lambda x: x.isNotNull()))
-    return stripped(F.when(first.isNotNull(), F.array_join(F.slice(lines, 1, F.coalesce(first, F.lit(0))), "\n")).otherwise(c))
+
+    def cut(lines: Column) -> Column:
+        marks = F.transform(F.slice(lines, F.greatest(F.size(lines) - (last - 1), F.lit(1)), F.lit(last)), lambda x, i: F.when(x.rlike(pattern), i))
+        first = F.array_min(F.filter(marks, lambda x: x.isNotNull())) + F.greatest(F.lit(0), F.size(lines) - last)
+        return stripped(F.array_join(let(first, lambda f: F.when(f.isNotNull(), F.slice(lines, F.lit(1), F.coalesce(f, F.lit(0)))).otherwise(lines)), "\n"))
+
+    return let(F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n"), cut)
 
 
 def clean_subject(c: Column) -> Column:

@@ -76,7 +76,7 @@ def frequent_phrases(df: DataFrame, column: str, stop_words: list[str], low: int
     """
     ends = F.concat(F.substring(text(F.col(column)), 1, 1000), F.lit(" "), F.right(text(F.col(column)), F.lit(1000)))
     base = df.select(F.monotonically_increasing_id().alias("_doc"), F.lower(ends).alias("_t"))
-    words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\b\w\w+\b", gaps=False).transform(base)
+    words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(base)
     words = StopWordsRemover(inputCol="_w", outputCol="_s", stopWords=stop_words or [""]).transform(words)
     for n in range(low, high + 1):
         words = NGram(n=n, inputCol="_s", outputCol=f"_{n}").transform(words)

@@ -38,7 +38,7 @@ QUERIES = {
     "clean_subject": lambda s, d: view(s, d).select("_ordinal", X.clean_subject(F.col("subject")).alias("clean")),
     "reply_forward_flags": lambda s, d: view(s, d).select("_ordinal", X.is_reply(F.col("subject")).alias("is_reply"), X.is_forward(F.col("subject")).alias("is_forward")),
     "entity_removal": lambda s, d: view(s, d).select("_ordinal", X.single_punctuation(X.single_spaces(X.without_entities(F.lower(X.text(F.col("body")))))).alias("clean")),
-    "thread_mark_cut": lambda s, d: view(s, d).select("_ordinal", F.char_length(X.before(F.lower(X.text(F.col("body"))), X.THREAD_MARK)).alias("n_kept")),
+    "thread_mark_cut": lambda s, d: view(s, d).select("_ordinal", F.char_length(X.before(F.regexp_replace(F.lower(X.text(F.col("body"))), r"\r\n?", "\n"), X.THREAD_MARK)).alias("n_kept")),
     "signature_cut": lambda s, d: view(s, d).select("_ordinal", X.without_signature(X.text(F.col("body"))).alias("kept")),
     "html_to_text": lambda s, d: view(s, d).select("_ordinal", F.char_length(X.html_to_text(F.col("body"))).alias("n_chars")),
     "clean_body": lambda s, d: view(s, d).select("_ordinal", X.clean_body(F.col("body")).alias("clean")),
@@ -142,10 +142,11 @@ for _p in (X.URL, X.ADDRESS, X.PHONE, X.EMOJI):
 ENTITIES = f"regexp_replace({ENTITIES}, '{WS}+', ' ', 'g')"
 for _c in "!?.,;:":
     ENTITIES = rf"regexp_replace({ENTITIES}, '\{_c}+', '{_c}', 'g')"
+_HEAD = rf"string_split_regex(regexp_replace(lower(coalesce(body, '')), '\r\n?', chr(10), 'g'), '{X.THREAD_MARK}')[1]"
 _CLOSE = "|".join(X.CLOSINGS)
 SIGNATURE = rf"""{VIEW}, a AS (SELECT _ordinal, coalesce(body, '') AS body, string_split(regexp_replace(coalesce(body, ''), '\r\n?', chr(10), 'g'), chr(10)) AS l FROM m),
   b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{_CLOSE})\s*$')) AS hits FROM a)
-  SELECT _ordinal, {_strip("CASE WHEN len(hits) > 0 THEN array_to_string(l[1:hits[1]], chr(10)) ELSE body END")} AS kept FROM b"""
+  SELECT _ordinal, {_strip("CASE WHEN len(hits) > 0 THEN array_to_string(l[1:hits[1]], chr(10)) ELSE array_to_string(l, chr(10)) END")} AS kept FROM b"""
 _TEXT = "concat_ws(' ', coalesce(subject, ''), coalesce(body, ''))"
 
 
@@ -185,6 +186,7 @@ ORACLE = {
     "clean_subject": f"{VIEW} SELECT _ordinal, {SUBJECT} AS clean FROM m",
     "reply_forward_flags": f"{VIEW} SELECT _ordinal, {REPLY} AS is_reply, {FORWARD} AS is_forward FROM m",
     "entity_removal": f"{VIEW} SELECT _ordinal, {ENTITIES} AS clean FROM m",
+    "thread_mark_cut": rf"{VIEW} SELECT _ordinal, length({_strip(_HEAD)})::INT AS n_kept FROM m",
     "signature_cut": SIGNATURE,
     "thread_ids": f"{THREADS} SELECT _ordinal, thread_id, row_number() OVER w::INT AS sequence, lag(message_id) OVER w AS parent_id FROM t WINDOW w AS (PARTITION BY thread_id ORDER BY date, _ordinal)",
     "domains_recipients": f"{VIEW} SELECT _ordinal, {DOMAIN} AS sender_domain, array_to_string({DOMAINS}, ',') AS domains, {RECIPIENTS} AS n_recipient, ({RECIPIENTS} + CASE WHEN {NULL_LIST} THEN 1 ELSE 0 END)::INT AS n_recipient_strict FROM m",
@@ -217,6 +219,10 @@ ORACLE = {
     "vote_patterns": f"{VOTES_SQL} SELECT array_to_string(votes, ',') AS votes, count(*) AS n FROM v GROUP BY 1",
     "vote_summary": f"{VOTES_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS lf, avg((votes[{i}] <> -1)::INT) AS coverage, avg((votes[{i}] = 1)::INT) AS urgent_rate, avg((votes[{i}] = 0)::INT) AS calm_rate FROM v" for i, n in enumerate(_NAMES, 1)),
     "vote_coverage": f"{VOTES_SQL} SELECT count(*) AS n, count(*) FILTER (len(list_filter(votes, lambda x: x <> -1)) > 0) AS covered, count(*) FILTER (len(list_filter(votes, lambda x: x <> -1)) > 0) / count(*) AS ratio FROM v",
+    "frequent_phrases": r"""WITH t AS (SELECT id, regexp_extract_all(lower(concat(left(coalesce(body, ''), 1000), ' ', right(coalesce(body, ''), 1000))), '[\p{L}\p{N}_]{2,}') AS w FROM emails),
+      g AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS ngram FROM t),
+      p AS (SELECT ngram, count(*) AS n, count(DISTINCT id) AS d FROM g GROUP BY 1 HAVING d >= 10 AND d <= 0.8 * (SELECT count(*) FROM emails) ORDER BY n DESC, ngram LIMIT 200)
+      SELECT ngram, n / (SELECT count(*) FROM emails) AS rate FROM p WHERE rate > 0.01""",
     "union_all": "SELECT id, subject FROM emails UNION ALL SELECT doc_id, NULL FROM documents",
     "duplicate_flag_join": f"{KEYED}, r AS (SELECT _ordinal, {FIRST} FROM k) SELECT _ordinal, CASE WHEN n = 1 THEN 0 ELSE 1 END AS duplicate FROM r",
     "semi_join_threads": f"{THREADS} SELECT _ordinal FROM t WHERE thread_id IN (SELECT thread_id FROM t WHERE is_reply)",
