@@ -44,6 +44,32 @@ def with_position(df: DataFrame, out: str, *order: Column) -> DataFrame:
     return with_running(df.withColumn("_one", F.lit(1).cast("long")), {out: "_one"}, *order).drop("_one")
 
 
+def with_neighbours(df: DataFrame, group: str, value: str, previous: str, sequence: str | None, *order: str) -> DataFrame:
+    """Adds the value of the row before within its group, and the row's number from 1 in it; null groups are one group.
+
+    Rows are range-partitioned by group and order together, so a group with a third of all rows is spread over
+    many ranges. What crosses ranges is one row per range: its last row, and how many rows of its first group
+    stand in earlier ranges. Give it narrow rows: they are written once. The order must be unique in a group.
+    """
+    key = F.coalesce(F.col(group).cast("string"), F.lit("\0"))
+    rows = ranged(df.withColumn("_g", key), F.col("_g"), *map(F.col, order))
+    within = Window.partitionBy("_range").orderBy("_g", *order)
+    pair = F.struct("_g", F.col(value).alias("v"))
+    ends = rows.groupBy("_range").agg(F.max_by(pair, F.struct("_g", *order)).alias("last"), F.min("_g").alias("first"))
+    carried = ends.select("_range", F.lag("last").over(Window.orderBy("_range")).alias("_carried"))  # one row per range
+    # Only a range's first group can have begun before it.
+    held = rows.join(F.broadcast(ends.select(F.col("first").alias("_g")).distinct()), "_g").groupBy("_g", "_range").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select("_range", "_g", earlier.alias("_offset")).filter("_offset > 0")
+    out = rows.withColumns({"_before": F.lag(pair).over(within), "_number": F.row_number().over(Window.partitionBy("_range", "_g").orderBy(*order))})
+    out = out.join(F.broadcast(carried), "_range").join(F.broadcast(offsets), ["_range", "_g"], "left")
+    before = F.coalesce("_before", "_carried")
+    out = out.withColumn(previous, F.when(before["_g"] == F.col("_g"), before["v"]))
+    if sequence:
+        out = out.withColumn(sequence, (F.col("_number") + F.coalesce("_offset", F.lit(0))).cast("int"))
+    return out.drop("_g", "_range", "_before", "_number", "_carried", "_offset")
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: str, nulls_match: bool = True) -> DataFrame:
     """One row per key: the first in the order. Combined before the shuffle, so no key is a hot group."""
     if not nulls_match:

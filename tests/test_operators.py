@@ -81,6 +81,16 @@ def test_ordered_matches_python(spark, partitions):
         running[r[0]] = total
     assert {r["id"]: r["s"] for r in ordered.with_running(df, {"s": "v"}, F.col("k"), F.col("id")).collect()} == running
     assert {r["id"]: r["n"] for r in ordered.with_position(df, "n", F.col("k"), F.col("id")).collect()} == {r[0]: i + 1 for i, r in enumerate(order)}
+    last, number = {}, {}
+    seen = {}
+    for r in sorted(values, key=lambda r: (r[2] if r[2] else -1, r[1], r[0])):
+        g = r[2] or None
+        last[r[0]], number[r[0]] = (seen[g][-1] if g in seen else None), len(seen.get(g, [])) + 1
+        seen.setdefault(g, []).append(r[1])
+    got = ordered.with_neighbours(df.withColumn("v", F.nullif("v", F.lit(0))), "v", "k", "p", "n", "k", "id").collect()
+    assert {r["id"]: r["p"] for r in got} == last and {r["id"]: r["n"] for r in got} == number
+    hot = ordered.with_neighbours(df.withColumn("v", F.lit("one")), "v", "id", "p", "n", "id").collect()
+    assert {r["id"]: (r["p"], r["n"]) for r in hot} == {i: (i - 1 if i else None, i + 1) for i in range(200)}
     assert ordered.with_position(df.limit(0), "n", F.col("k")).count() == 0
 
 
