@@ -160,33 +160,37 @@ def nearest(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
         query_ids, queries = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         single = queries.astype(np.float32)
         query_codes = codes(single, mean, turn)
-        found: list[list[np.ndarray]] = [[], [], []]
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         for ids, rows in blocks():
-            index = Block(ids, rows, mean, turn)
+            index, parts = Block(ids, rows, mean, turn), [found]
             for at in range(0, len(queries), QUERIES_AT_ONCE):
                 span = slice(at, at + QUERIES_AT_ONCE)
                 q, r = index.candidates(query_codes[span], masks)
                 sim = np.einsum("ij,ij->i", single[span][q], rows[r])
                 other = query_ids[span][q] != ids[r]
-                q, r, sim = best(q[other], r[other], sim[other], k)
-                n = np.bincount(q, minlength=len(query_ids[span]))
-                low = np.full(len(n), 2.0)
-                np.minimum.at(low, q, sim)
-                unsure = np.flatnonzero((n < k) | (low < SURE))
-                if len(unsure):
-                    certain = ~np.isin(q, unsure)
-                    q, r, sim = q[certain], r[certain], sim[certain]
-                    dots = single[span][unsure] @ rows.T
-                    dots[query_ids[span][unsure][:, None] == ids[None, :]] = -2
-                    top = np.argpartition(-dots, min(k, len(ids) - 1), axis=1)[:, : k + 1] if len(ids) > k else np.tile(np.arange(len(ids)), (len(unsure), 1))
+                q, i, sim = best(q[other], ids[r[other]], sim[other], k)
+                parts.append((q + at, i, sim))
+            found = best(*(np.concatenate(x) for x in zip(*parts)), k)
+        # Queries whose neighbours, over all blocks, are too few or too far for the ball are scanned exactly.
+        n, low = np.bincount(found[0], minlength=len(queries)), np.full(len(queries), 2.0)
+        np.minimum.at(low, found[0], found[2])
+        unsure = np.flatnonzero((n < min(k, total - 1)) | (low < SURE))
+        if len(unsure):
+            certain = ~np.isin(found[0], unsure)
+            exact = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+            for ids, rows in blocks():
+                parts = [exact]
+                for at in range(0, len(unsure), QUERIES_AT_ONCE // 4):
+                    asked = unsure[at : at + QUERIES_AT_ONCE // 4]
+                    dots = single[asked] @ rows.T
+                    dots[query_ids[asked][:, None] == ids[None, :]] = -2
                     # All ties at the edge take part, so that the smaller id can win.
-                    edge = np.sort(np.take_along_axis(dots, top, 1), axis=1)[:, ::-1][:, min(k, top.shape[1]) - 1]
-                    uq, ur = np.nonzero((dots >= edge[:, None] - 1e-6) & (dots > -2))
-                    q, r, sim = np.concatenate([q, unsure[uq]]), np.concatenate([r, ur]), np.concatenate([sim, dots[uq, ur]])
-                found[0].append(q + at), found[1].append(ids[r]), found[2].append(sim)
-            q, r, sim = best(*(np.concatenate(x) for x in found), k)
-            found = [[q], [r], [sim]]
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[found[0][0]]), pa.array(found[1][0]), pa.array(found[2][0].astype(np.float64))], names=["query_id", "vec_id", "similarity"])
+                    edge = -np.partition(-dots, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(asked), -2.0)
+                    q, r = np.nonzero((dots >= edge[:, None] - 1e-6) & (dots > -2))
+                    parts.append(best(asked[q], ids[r], dots[q, r], k))
+                exact = best(*(np.concatenate(x) for x in zip(*parts)), k)
+            found = tuple(np.concatenate([f[certain], e]) for f, e in zip(found, exact))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[found[0]]), pa.array(found[1]), pa.array(found[2].astype(np.float64))], names=["query_id", "vec_id", "similarity"])
 
     tasks = max(1, min(-(-total // 2_000), 4 * spark.sparkContext.defaultParallelism, -(-total // 200)))
     return table.repartition(tasks, "vec_id").mapInArrow(scan, "query_id long, vec_id long, similarity double")
