@@ -31,6 +31,13 @@ def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def masked_mean(tokens: Column, mask: Column, width: int) -> Column:
+    """Mean of the token vectors whose mask is 1, per dimension; zeros where none is."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["t"])
+    dimension = lambda i: F.coalesce(F.aggregate(kept, F.lit(0.0), lambda s, v: s + F.get(v, i).cast("double")) / F.nullif(F.size(kept), F.lit(0)), F.lit(0.0))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), dimension)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 

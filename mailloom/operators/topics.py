@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import logging
+from pathlib import Path
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA
+from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,19 @@ class TopicModel:
         """(id, topic, topic_probability)."""
         return self._placed(vectors).select("id", F.when(F.col("distance") <= self.cut, F.col("topic")).otherwise(-1).alias("topic"), F.exp(-F.col("distance") / max(self.cut, 1e-9)).alias("topic_probability"))
 
+    def save(self, folder: str) -> None:
+        self.reduce.write().overwrite().save(f"{folder}/components")
+        self.cluster.write().overwrite().save(f"{folder}/clusters")
+        Path(f"{folder}/topics.json").write_text(json.dumps({"cut": self.cut, "centres": [c.tolist() for c in self.centres], "topics": self.topics, "seed": self.seed}))
+
+    @classmethod
+    def load(cls, folder: str) -> TopicModel:
+        info = json.loads(Path(f"{folder}/topics.json").read_text())
+        model = cls(info["topics"], seed=info["seed"])
+        model.reduce, model.cluster = PCAModel.load(f"{folder}/components"), BisectingKMeansModel.load(f"{folder}/clusters")
+        model.cut, model.centres = info["cut"], [np.asarray(c) for c in info["centres"]]
+        return model
+
 
 def topic_features(rows: DataFrame, model: TopicModel | None, vectors: DataFrame) -> DataFrame:
     """(id) with topic and topic_probability; rows without a vector, or a missing model, get -1 and 0."""

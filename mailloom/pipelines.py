@@ -42,9 +42,9 @@ class Models:
 
     @classmethod
     def load(cls, folder: str) -> Models:
-        """Raises FileNotFoundError if the folder holds no trained models. Topics are refitted by their owner, else rows are noise."""
+        """Raises FileNotFoundError if the folder holds no trained models."""
         info = json.loads((Path(folder) / "model.json").read_text())
-        return cls(folder, LabelModel.load(f"{folder}/labels.json"), PipelineModel.load(f"{folder}/classifier"), info["features"], info["threshold"])
+        return cls(folder, LabelModel.load(f"{folder}/labels.json"), PipelineModel.load(f"{folder}/classifier"), info["features"], info["threshold"], TopicModel.load(f"{folder}/topics"))
 
 
 def build_dataset(emails: DataFrame, gold: DataFrame, folder: str | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -77,8 +77,8 @@ def cleaned(mail: DataFrame, config: EngineConfig) -> DataFrame:
     return mail.withColumn("_clean", F.substring(F.concat_ws(" ", subject, body), 1, config.text_length))
 
 
-def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embed: Embed = hashed_embedding, grow: bool = False) -> tuple[DataFrame, Models]:
-    """Lexicons, weak labels, features, out-of-fold scores, threshold and final model; writes dataset.parquet and the models."""
+def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embed: Embed = hashed_embedding, grow: bool = False, reuse: bool = False) -> tuple[DataFrame, Models]:
+    """Lexicons, weak labels, features, out-of-fold scores, threshold and final model; writes dataset.parquet and the models. reuse keeps a saved classifier of the same features."""
     spark = mail.sparkSession
     mail = written(cleaned(mail, config), "train-mail")
     vectors = written(embedded(mail.select(F.col("_ordinal").alias("id"), "_clean"), "_clean", embed=embed).select("id", "embedding"), "train-vectors")
@@ -95,7 +95,11 @@ def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), e
     names = [c for c in table.columns if c not in ("id", "label")]
     folds = written(C.out_of_fold(table, names, "id", config=config), "oof")
     threshold = C.tuned_threshold(folds)
-    classifier = C.fitted(table, names, config=config)
+    saved = Models.load(folder) if reuse and Path(f"{folder}/model.json").exists() else None
+    if saved and saved.features == names:  # a saved model serves only the same features in the same order
+        classifier, threshold = saved.classifier, saved.threshold
+    else:
+        classifier = C.fitted(table, names, config=config)
     done = C.scored(folds, classifier, names).withColumn("pred", (F.col("proba") >= threshold).cast("int")).withColumn("threshold", F.lit(threshold))
     out = marked.drop("label", "votes", "_clean").join(done.withColumnRenamed("id", "_ordinal"), "_ordinal")
     Path(folder).mkdir(parents=True, exist_ok=True)
@@ -103,6 +107,8 @@ def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), e
     save(vectors.join(labels, "id"), f"{folder}/vectors.parquet")
     save(lexicon, f"{folder}/lexicon.parquet")
     label_model.save(f"{folder}/labels.json")
+    Path(f"{folder}/topics").mkdir(exist_ok=True)
+    topics.save(f"{folder}/topics")
     classifier.write().overwrite().save(f"{folder}/classifier")
     save_document({"features": names, "threshold": threshold}, f"{folder}/model.json")
     return spark.read.parquet(f"{folder}/dataset.parquet"), Models(folder, label_model, classifier, names, threshold, topics)

@@ -10,7 +10,7 @@ from mailloom.operators import classify as C
 from mailloom.operators import evaluate as E
 from mailloom.operators import knn as K
 from mailloom.operators import monitor as M
-from mailloom.operators.lexicon import seed_lexicon
+from mailloom.operators.lexicon import seed_lexicon, sentence_index
 from mailloom.operators.ordered import with_position, with_running
 from mailloom.operators.topics import TopicModel, named, topic_features, topic_names, topic_summary
 from mailloom.operators.weak import LabelModel, labelling_functions, searched, silver, vote_patterns, voted
@@ -137,6 +137,14 @@ QUERIES = {
     "rare_topics": lambda s, d: M.rare_topics(predictions(s, d)),
     "review_queue": lambda s, d: M.review_queue(predictions(s, d)).select("_ordinal", "reason", "drift_score"),
     "baseline_split": lambda s, d: M.time_split(predictions(s, d)).select("vec_id", "baseline"),
+    "share_comparison": lambda s, d: rounded(M.share_comparison(*[M.distribution(x, F.col("topic").cast("string")) for x in halves(s, d)][::-1]), "key"),
+    "scalar_summary": lambda s, d: rounded(predictions(s, d).agg(F.count("*").alias("n"), F.avg("proba").alias("mean"), F.min("proba").alias("low"), F.max("proba").alias("high"), F.countDistinct("topic").alias("topics")), "n", "topics"),
+    "value_counts": lambda s, d: predictions(s, d).groupBy("topic").agg(F.count("*").alias("n")),
+    "last_rows": lambda s, d: predictions(s, d).orderBy(F.desc("_ordinal")).limit(100).select("vec_id"),
+    "lenient_dates": lambda s, d: read_table(s, d, "emails").select("id", F.unix_micros(F.try_to_timestamp("date_text", F.lit("yyyy-MM-dd HH:mm:ss"))).alias("us")),
+    "json_round_trip": lambda s, d: predictions(s, d).select("vec_id", F.from_json(F.to_json(F.struct("pred", "topic")), "pred int, topic int").alias("j")).select("vec_id", "j.pred", "j.topic"),
+    "label_names": lambda s, d: predictions(s, d).select("vec_id", F.coalesce(F.element_at(F.create_map(F.lit(0), F.lit("calm"), F.lit(1), F.lit("urgent")), F.col("pred")), F.lit("unknown")).alias("name")),
+    "sentence_chunks": lambda s, d: sentence_index(view(s, d)),
     "first_rows": lambda s, d: M.first_rows(predictions(s, d), 100).select("vec_id"),
     "knn_topk": lambda s, d: K.knn(vectors(s, d), vectors(s, d), 10, exclude_self=True).select("query_id", "rank", "neighbour_id", F.round("similarity", 6).alias("similarity")),
     "similarity_features": lambda s, d: rounded(K.in_sample_features(vectors(s, d), labels(s, d)), "id"),
@@ -214,6 +222,13 @@ ORACLE = {
     "rare_topics": f"{PRED}, {RARE} SELECT topic, n FROM r",
     "review_queue": f"{PRED}, {RARE}, q AS (SELECT vec_id AS _ordinal, concat_ws('; ', CASE WHEN proba < 0.65 THEN 'low confidence' END, CASE WHEN topic_probability < 0.2 THEN 'uncertain topic' END, CASE WHEN topic IN (SELECT topic FROM r) THEN 'rare topic' END) AS reason, proba AS drift_score FROM p) SELECT * FROM q WHERE reason <> '' ORDER BY _ordinal LIMIT 50",
     "baseline_split": f"{PRED} SELECT vec_id, row_number() OVER (ORDER BY date, vec_id) <= (SELECT greatest(least(greatest(floor(count(*) * 0.3), 100), count(*) - 100), 1) FROM p) AS baseline FROM p",
+    "share_comparison": f"{HALVES}, x AS (SELECT topic::VARCHAR AS key, count(*) / (SELECT count(*) FROM c) AS s FROM c GROUP BY 1), y AS (SELECT topic::VARCHAR AS key, count(*) / (SELECT count(*) FROM b) AS s FROM b GROUP BY 1) SELECT key, round(coalesce(x.s, 0), 6) AS current, round(coalesce(y.s, 0), 6) AS baseline FROM x FULL JOIN y USING (key)",
+    "scalar_summary": f"{PRED} SELECT count(*) AS n, round(avg(proba), 6) AS mean, min(proba) AS low, max(proba) AS high, count(DISTINCT topic) AS topics FROM p",
+    "value_counts": f"{PRED} SELECT topic, count(*) AS n FROM p GROUP BY 1",
+    "last_rows": f"{PRED} SELECT vec_id FROM p ORDER BY vec_id DESC LIMIT 100",
+    "lenient_dates": r"SELECT id, CASE WHEN regexp_matches(date_text, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$') THEN epoch_us(try_strptime(date_text, '%Y-%m-%d %H:%M:%S')) END AS us FROM emails",
+    "json_round_trip": f"{PRED} SELECT vec_id, pred, topic FROM p",
+    "label_names": f"{PRED} SELECT vec_id, CASE pred WHEN 0 THEN 'calm' ELSE 'urgent' END AS name FROM p",
     "first_rows": f"{PRED} SELECT vec_id FROM p ORDER BY vec_id LIMIT 100",
     "knn_topk": f"{_neighbours('true', 'true', 10, True)} SELECT query_id, rank, neighbour_id, round(sim, 6) AS similarity FROM n",
     "similarity_features": f"{_neighbours('true', 'true', 10, True)} {FEATURES}",

@@ -117,6 +117,9 @@ def test_knn_and_features(spark):
     assert (f["max_similarity"], f["top_k_neg_similarity"], f["top_k_pos_similarity"], f["gap_similarity"]) == (1.0, 1.0, 0.0, -1.0)
     with pytest.raises(ValueError):
         knn.out_of_sample_features(v, v.limit(0), labels)
+    m = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0], [0, 0, 0])], "t array<array<double>>, m array<int>, z array<int>")
+    assert m.select(knn.masked_mean(F.col("t"), F.col("m"), 2).alias("a")).first()["a"] == [2.0, 3.0]
+    assert m.select(knn.masked_mean(F.col("t"), F.col("z"), 2).alias("a")).first()["a"] == [0.0, 0.0]
     text = spark.createDataFrame([(1, [0.2, 0.8]), (2, [1.0, 0.0])], "id long, embedding array<double>")
     term = spark.createDataFrame([("t", 1, [1.0, 0.0]), ("t", 2, [0.0, 1.0])], "lexicon string, id long, embedding array<double>")
     assert [round(r["similarity"], 2) for r in knn.max_similarity(text, term).orderBy("id").collect()] == [0.97, 1.0]
@@ -212,7 +215,7 @@ def test_weak_labels(spark, tmp_path):
     assert weak.silver(weak.voted(m, f), model, strict=True).filter("_ordinal = 2").first()["silver_label"] == 1
 
 
-def test_classifier_and_topics(spark):
+def test_classifier_and_topics(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, i % 2, rng.gauss(i % 2 * 4, 1), rng.gauss(0, 1)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, label int, a double, b double")
@@ -226,6 +229,8 @@ def test_classifier_and_topics(spark):
     got = topics.topic_features(v.select("id").union(spark.createDataFrame([(99,)], "id long")), t, v)
     assert got.filter("id = 99 and topic = -1 and topic_probability = 0").count() == 1
     assert got.filter("topic >= 0").select((F.col("id") % 4).alias("k"), "topic").distinct().count() == 4
+    t.save(str(tmp_path))
+    assert topics.TopicModel.load(str(tmp_path)).assign(v).exceptAll(t.assign(v)).isEmpty()
     assert topics.topic_features(v.select("id"), None, v).filter("topic <> -1").count() == 0
 
 
