@@ -211,6 +211,58 @@ def decode(kinds: list[int]) -> list[int]:
     return out
 
 
+GREETING = re.compile(r"(?:(?:hi|hello|hey|dear|good (?:morning|afternoon|evening))\b.{0,50}|[^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*)?)\s*[,:!–-]+\s*$", re.I)
+
+
+def below(kinds: list[int], lines: list[str], out: list[int]) -> None:
+    """An answer below an unmarked block that opens the body: the paragraph above the sender's own signature is new.
+
+    The block must come first (after warnings), and the sender's name must stand under it. The paragraph begins
+    after the last blank or quoted line; a greeting above it belongs to it. Postscripts after the signature are new.
+    Without an own signature the last paragraph is new if something of the block stands above it.
+    """
+    first = next((i for i, k in enumerate(kinds) if k not in (BLANK, DASHES, WARN, LEGALS)), None)
+    if first is None or kinds[first] not in (BLOCK, INTRO, HEADER) or out[first] != HISTORY:
+        return
+    named = [i for i, k in enumerate(kinds) if i > first and out[i] == HISTORY and (k == NAME)]
+    if not named:
+        # Without an own signature, the last paragraph is new if it follows a marked quote, the quoted
+        # writer's signature, or another paragraph of the block.
+        end = len(kinds)
+        while end > first and kinds[end - 1] in (BLANK, DASHES, LEGALS):
+            end -= 1
+        top = end
+        while top > first and kinds[top - 1] in (TEXT, PS):
+            top -= 1
+        gap = top
+        while gap > first and kinds[gap - 1] == BLANK:
+            gap -= 1
+        before = kinds[gap - 1] if gap else BLANK
+        if top < end and (before == QUOTE or gap < top and (before in (CLOSING, NAME, WEAK, LINK, NOTE) and gap > first + 1 or before == TEXT)):
+            for i in range(top, len(kinds)):
+                out[i] = NOTICE if kinds[i] == LEGALS else NEW
+        return
+    signed = start = named[-1]
+    while start > first and kinds[start - 1] in (BLANK, CLOSING, DASHES):
+        start -= 1
+    top = start
+    while top > first and kinds[top - 1] in (TEXT, PS, LINK, WEAK):
+        top -= 1
+    if top == start:
+        return
+    above = top
+    while above > first and kinds[above - 1] == BLANK:
+        above -= 1
+    if above > first + 1 and GREETING.match(TAG.sub("", lines[above - 1]).strip()) and kinds[above - 1] in (TEXT, WEAK):
+        top = above - 1
+    for i in range(top, start):
+        out[i] = NEW
+    after = SIGNATURE
+    for i in range(start, len(kinds)):
+        after = NEW if kinds[i] == PS and i > signed else after if kinds[i] != BLANK else SIGNATURE
+        out[i] = after if kinds[i] in (PS, TEXT) and i > signed else NOTICE if kinds[i] == LEGALS else SIGNATURE
+
+
 def sender_words(x_from: str | None, sender: str | None) -> frozenset[str]:
     """Lower-cased parts of the sender's name."""
     local = (sender or "").split("@")[0]
@@ -225,7 +277,10 @@ def segmented(body: str | None, x_from: str | None = None, sender: str | None =
     kinds = classes(lines, sender_words(x_from, sender))
     if all(k in (BLANK, TEXT) for k in kinds):
         return lines, [NEW] * len(lines)
-    return lines, decode(kinds)
+    out = decode(kinds)
+    if BLOCK in kinds or HEADER in kinds or INTRO in kinds:
+        below(kinds, lines, out)
+    return lines, out
 
 
 def old_lines(emails: DataFrame) -> DataFrame:
