@@ -44,7 +44,7 @@ PHONE = re.compile(
     re.X,
 )
 SSN = re.compile(r"(?<![\w.-])\d{3}([-. ])\d{2}\1\d{4}(?![\w-]|\.\d)")
-SSN_NEAR = re.compile(r"(?i)(?:\bSSN|social[ -]security(?:[ -](?:number|no\.?))?)\W{0,3}(?:is |no\.? |number |of )?(\d{9})(?!\w)|(?<![\w-])(\d{9})(?= as the social[ -]security)")
+SSN_NEAR = re.compile(r"(?i)(?:\bSSN|\bbadge form|social[ -]security(?:[ -](?:number|no\.?))?)\W{0,3}(?:is |no\.? |number |of )?(\d{9})(?!\w)|(?<![\w-])(\d{9})(?= as the social[ -]security)")
 INSURANCE = re.compile(r"(?<![\w-])[A-Za-z]{2}([- ]?)\d{2}([- ]?)\d{2}([- ]?)\d{2}[- ]?[A-Da-d](?![\w-])")
 DOCUMENT = re.compile(r"(?i)\b(?:passport|driver'?s?'? licen[cs]e)(?:\s+(?:no\.?|number|nr\.?|#))?\s*:?\s*((?=[A-Z-]*\d)[A-Z]{0,3}-?\d[\dA-Z-]{4,16}[\dA-Z])(?![\w-])")
 LICENCE = re.compile(r"(?<![\w-])[A-Z]\d{3}-\d{4}-\d{4}(?![\w-])")
@@ -184,7 +184,6 @@ def detect(text: str | None, people: People) -> list[tuple[str, int, int]]:
         if all(end <= s or start >= e for s, e, _ in spans):
             spans.append((start, end, kind))
 
-    lower = text
     if "@" in text or "at" in text and (" dot " in text or "(at)" in text or "[at]" in text or " DOT " in text or "(AT)" in text):
         for m in EMAIL.finditer(text):
             add("email", *m.span())
@@ -195,7 +194,7 @@ def detect(text: str | None, people: People) -> list[tuple[str, int, int]]:
             add("id_number", *m.span())
     for m in LICENCE.finditer(text):
         add("id_number", *m.span())
-    if re.search(r"(?i)passport|licen|ssn|social", lower):
+    if re.search(r"(?i)passport|licen|ssn|social|badge form", text):
         for m in SSN_NEAR.finditer(text):
             add("id_number", *m.span(1 if m[1] else 2))
         for m in DOCUMENT.finditer(text):
