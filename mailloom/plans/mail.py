@@ -147,6 +147,16 @@ _CLOSE = "|".join(X.CLOSINGS)
 SIGNATURE = rf"""{VIEW}, a AS (SELECT _ordinal, coalesce(body, '') AS body, string_split(regexp_replace(coalesce(body, ''), '\r\n?', chr(10), 'g'), chr(10)) AS l FROM m),
   b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{_CLOSE})\s*$')) AS hits FROM a)
   SELECT _ordinal, {_strip("CASE WHEN len(hits) > 0 THEN array_to_string(l[1:hits[1]], chr(10)) ELSE array_to_string(l, chr(10)) END")} AS kept FROM b"""
+_DECODED = "coalesce(body, '')"
+for _e, _c in X.ENTITIES.items():
+    _DECODED = f"replace({_DECODED}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_DECODED = rf"regexp_replace({_DECODED}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', '', 'g')"
+_NODES = f"array_to_string(list_filter(list_transform(string_split_regex({_DECODED}, '<[^>]*>'), lambda x: {_strip('x')}), lambda x: x <> ''), ' ')"
+PLAIN = f"CASE WHEN regexp_matches(coalesce(body, ''), '{X.MARKUP}') THEN {_NODES} ELSE coalesce(body, '') END"
+CLEAN = rf"""{VIEW}, h AS (SELECT _ordinal, {_strip(f"lower({PLAIN})")} AS body FROM m), a AS (SELECT _ordinal, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM h),
+  b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{_CLOSE})\s*$')) AS hits FROM a),
+  c AS (SELECT _ordinal, {_strip("array_to_string(CASE WHEN len(hits) > 0 THEN l[1:hits[1]] ELSE l END, chr(10))")} AS t FROM b),
+  d AS (SELECT _ordinal, replace({_strip(f"string_split_regex(t, '{X.THREAD_MARK}')[1]")}, chr(10), ' ') AS body FROM c) SELECT _ordinal, {_strip(ENTITIES)} AS clean FROM d"""
 _TEXT = "concat_ws(' ', coalesce(subject, ''), coalesce(body, ''))"
 
 
@@ -188,6 +198,8 @@ ORACLE = {
     "entity_removal": f"{VIEW} SELECT _ordinal, {ENTITIES} AS clean FROM m",
     "thread_mark_cut": rf"{VIEW} SELECT _ordinal, length({_strip(_HEAD)})::INT AS n_kept FROM m",
     "signature_cut": SIGNATURE,
+    "html_to_text": f"{VIEW} SELECT _ordinal, length({PLAIN})::INT AS n_chars FROM m",
+    "clean_body": CLEAN,
     "thread_ids": f"{THREADS} SELECT _ordinal, thread_id, row_number() OVER w::INT AS sequence, lag(message_id) OVER w AS parent_id FROM t WINDOW w AS (PARTITION BY thread_id ORDER BY date, _ordinal)",
     "domains_recipients": f"{VIEW} SELECT _ordinal, {DOMAIN} AS sender_domain, array_to_string({DOMAINS}, ',') AS domains, {RECIPIENTS} AS n_recipient, ({RECIPIENTS} + CASE WHEN {NULL_LIST} THEN 1 ELSE 0 END)::INT AS n_recipient_strict FROM m",
     "header_addresses": rf"{VIEW}, a AS (SELECT _ordinal, list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(x_cc, ''), '([\w.+-]+@[\w.-]+)', 1), lambda x: lower(x)))) AS f FROM m) SELECT _ordinal, CASE WHEN len(f) > 0 THEN array_to_string(f, ',') END AS found FROM a",

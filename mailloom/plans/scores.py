@@ -195,6 +195,12 @@ def _posterior_sql() -> str:
     return f"{VOTES_SQL}, o AS (SELECT _ordinal, CASE WHEN len(list_filter(votes, lambda x: x >= 0)) > 0 THEN 1 / (1 + exp(-{odds})) END AS p FROM v) SELECT _ordinal, round(p, 6) AS silver_proba, (p >= 0.5 - 1e-12)::INT AS silver_label FROM o"
 
 
+def _votes_sql() -> str:
+    from mailloom.plans.mail import VOTES_SQL
+
+    return VOTES_SQL
+
+
 def _near_sql() -> str:
     from mailloom.plans.mail import KEYED
 
@@ -236,4 +242,5 @@ ORACLE = {
     "semantic_max": "WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings) SELECT q.vec_id AS id, concat('t', r.vec_id % 3) AS lexicon, round(max(array_cosine_similarity(q.x, r.x)), 6) AS similarity FROM e q, e r WHERE r.vec_id < 20 GROUP BY ALL",
     "near_dup_removed": _near_sql(),
     "weak_posterior": _posterior_sql(),
+    "fitted_patterns": f"{_votes_sql()} SELECT count(*) AS n, count(DISTINCT votes) AS patterns FROM v",
 }
