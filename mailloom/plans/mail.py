@@ -14,14 +14,14 @@ from mailloom.operators.lexicon import coverage, frequent_phrases, phrase_counts
 from mailloom.operators.ordered import keep_first
 from mailloom.operators.splits import stratified_folds, thread_split
 from mailloom.operators.weak import covered_summary, labelling_functions, vote_patterns, vote_summary, voted
-from mailloom.session import read_table
+from mailloom.session import read_table, spread
 
 STRICT = EngineConfig(strict_reference=True)
 KEYS = ["sender", "to_key", "subject", "date_text"]
 
 
 def view(s: SparkSession, d: str) -> DataFrame:
-    return M.mail_view(read_table(s, d, "emails"))
+    return M.mail_view(spread(read_table(s, d, "emails")))
 
 
 def keyed(s: SparkSession, d: str) -> DataFrame:
