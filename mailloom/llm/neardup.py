@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.llm.shingles import distinct_runs, runs, word_hashes
-from mailloom.session import written
+from mailloom.session import spread, written
 
 GROUPS, SYMBOLS, ERASED = 16, 5, 1
 HOT = 200
@@ -69,7 +69,7 @@ def fingerprinted(texts: DataFrame, run: int = 3, least: int = 20, symbols: bool
             kept = b.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("tag"), pa.array([digests[i] for i in at], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["id", "tag", "class", "symbols"])
 
-    return texts.select("id", "tag", "text").mapInArrow(scan, "id long, tag string, class binary, symbols array<int>")
+    return spread(texts.select("id", "tag", "text")).mapInArrow(scan, "id long, tag string, class binary, symbols array<int>")
 
 
 def run_sets(texts: DataFrame, run: int) -> DataFrame:

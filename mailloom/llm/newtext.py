@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mailloom.session import spread
+
 LINE_END = re.compile(r"\r\n|\r|\n")
 TAG = re.compile(r"<(?:/?[A-Za-z][^<>@]*|!--[^<>]*--)>")
 ALNUM = re.compile(r"[^\W_]")
@@ -296,7 +298,7 @@ def old_lines(emails: DataFrame) -> DataFrame:
                         ids.append(i), numbers.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], names=["id", "line_no"])
 
-    return emails.select("id", "body", "x_from", "sender").mapInArrow(scan, "id long, line_no long")
+    return spread(emails.select("id", "body", "x_from", "sender")).mapInArrow(scan, "id long, line_no long")
 
 
 def new_texts(emails: DataFrame) -> DataFrame:
@@ -309,4 +311,4 @@ def new_texts(emails: DataFrame) -> DataFrame:
                 out.append(None if body is None else "\n".join(l for l, k in zip(lines, kinds) if k == NEW).strip())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], names=["id", "new_text"])
 
-    return emails.select("id", "body", "x_from", "sender").mapInArrow(scan, "id long, new_text string")
+    return spread(emails.select("id", "body", "x_from", "sender")).mapInArrow(scan, "id long, new_text string")

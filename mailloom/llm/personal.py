@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.session import scratch_path, written
+from mailloom.session import scratch_path, spread, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 GAP = r"[ \t\xa0  ]"
@@ -356,7 +356,7 @@ def mentions(emails: DataFrame, people: str, fields: tuple[str, ...] = ("body",
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=["id", "field_name", "kind", "found_text"])
 
-    return emails.select("id", *fields).mapInArrow(scan, "id long, field_name string, kind string, found_text string")
+    return spread(emails.select("id", *fields)).mapInArrow(scan, "id long, field_name string, kind string, found_text string")
 
 
 def rewritten(emails: DataFrame, people: str, key: bytes | None = None, fields: tuple[str, ...] = ("body", "subject")) -> DataFrame:
@@ -368,4 +368,4 @@ def rewritten(emails: DataFrame, people: str, key: bytes | None = None, fields:
             texts = [pa.array([replaced(t, detect(t, known), by) for t in b.column(f).to_pylist()], pa.string()) for f in fields]
             yield pa.RecordBatch.from_arrays([b.column("id"), *texts], names=["id", *fields])
 
-    return emails.select("id", *fields).mapInArrow(scan, "id long, " + ", ".join(f"{f} string" for f in fields))
+    return spread(emails.select("id", *fields)).mapInArrow(scan, "id long, " + ", ".join(f"{f} string" for f in fields))

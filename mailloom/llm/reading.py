@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.session import spread
+
 SAMPLE = 4_000
 LEAST_CHARS = 150
 FOLDS, TREES, DEPTH, RATE, BINS, LEAF = 5, 80, 4, 0.1, 32, 8
@@ -218,4 +220,4 @@ def reading_bands(documents: DataFrame, model: Model | None) -> DataFrame:
             bands = shared.value.bands([parts[i] for i in at]) if at else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(bands.astype(np.int64))], names=["doc_id", "band"])
 
-    return documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, band long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(scan, "doc_id long, band long")

@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.session import spread
+
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE = 65_536
 # The split pattern that belongs to the rank files.
@@ -75,7 +77,7 @@ def encoded(texts: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FO
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
-    return texts.select("doc_id", "text").mapInArrow(scan, "doc_id long, ids array<int>")
+    return spread(texts.select("doc_id", "text")).mapInArrow(scan, "doc_id long, ids array<int>")
 
 
 def token_counts(texts: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -87,7 +89,7 @@ def token_counts(texts: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str
             counts = pa.array([len(encode(t, path)) for t in b.column("text").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts], names=["doc_id", "tokens"])
 
-    return texts.select("doc_id", "text").mapInArrow(scan, "doc_id long, tokens int")
+    return spread(texts.select("doc_id", "text")).mapInArrow(scan, "doc_id long, tokens int")
 
 
 def decoded(ids: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
