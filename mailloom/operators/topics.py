@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.operators.analytics import top_per_group
+
 log = logging.getLogger(__name__)
 
 
@@ -79,7 +81,7 @@ def topic_names(docs: DataFrame, top: int = 4) -> DataFrame:
     per = tf.groupBy("w").agg(F.sum("tf").alias("f"))
     mean = tf.groupBy("topic").agg(F.sum("tf").alias("s")).agg(F.avg("s").alias("a"))
     scored = tf.join(per, "w").crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") * F.log(1 + F.col("a") / F.col("f")))  # one row: the mean
-    best = scored.groupBy("topic").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "w")))), 1, top).alias("t"))
+    best = top_per_group(scored.select("topic", "w", "score"), "topic", top, "w", "score").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("t"))  # `top` terms each
     return best.select("topic", F.array_join(F.transform("t", lambda x: x["w"]), "_").alias("name"))
 
 

@@ -53,6 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of the shared folder; frames that still read them fail afterwards."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mailloom")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as there are cores, for work that is heavy per row; a table of enough files isn't moved."""
     n = df.sparkSession.sparkContext.defaultParallelism
