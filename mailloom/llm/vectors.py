@@ -28,6 +28,7 @@ BITS, TABLES, PROBE = 64, 4, 2
 SAMPLE = 20_000
 BLOCK = 131_072
 QUERIES_AT_ONCE = 512
+QUERIES_A_TASK = 50_000  # a task holds its own queries and one block
 SURE = 0.90
 PRUNE = 22  # Hamming distance beyond which a candidate isn't reranked: cosine 0.9 gives 9.2 +- 2.8
 
@@ -192,5 +193,5 @@ def nearest(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
             found = tuple(np.concatenate([f[certain], e]) for f, e in zip(found, exact))
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[found[0]]), pa.array(found[1]), pa.array(found[2].astype(np.float64))], names=["query_id", "vec_id", "similarity"])
 
-    tasks = max(1, min(-(-total // 2_000), 4 * spark.sparkContext.defaultParallelism, -(-total // 200)))
+    tasks = max(-(-total // QUERIES_A_TASK), min(4 * spark.sparkContext.defaultParallelism, -(-total // 200)))
     return table.repartition(tasks, "vec_id").mapInArrow(scan, "query_id long, vec_id long, similarity double")
