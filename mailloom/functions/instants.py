@@ -72,6 +72,15 @@ def month_length(year: Column, month: Column) -> Column:
     return F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, zoneless ones read as UTC, whatever the session's zone is."""
+    c = F.col(column)
+    if dict(df.dtypes)[column] != "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = (F.unix_date(c.cast("date")).cast("long") * 24 + F.hour(c)) * 60 + F.minute(c)
+    return seconds * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def _shown(us: Column, zone: Column) -> Column:
     """What the zone's clock shows at an instant, as microseconds."""
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))

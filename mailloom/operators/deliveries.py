@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions.identifiers import bare_identifier
+from mailloom.functions.instants import micros
 from mailloom.session import scratch_path
 
 MAX_RUNS = 8
@@ -106,8 +107,8 @@ class DeliveryIndex:
 
     def arrivals(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
         """Best copy per identifier and batch, combined before the shuffle, so a hot identifier is no hot group."""
-        known = rows.select(bare_identifier(F.col("message_id")).alias("i"), "id", F.col("received_at").cast("timestamp").alias("r"), (F.coalesce(F.col(batch), F.lit(-1)) if batch else F.lit(0)).cast("long").alias("batch")).filter("i is not null")
-        received = F.coalesce(F.unix_micros("r"), F.lit(int(NEVER)))
+        known = rows.select(bare_identifier(F.col("message_id")).alias("i"), "id", micros(rows, "received_at").alias("r"), (F.coalesce(F.col(batch), F.lit(-1)) if batch else F.lit(0)).cast("long").alias("batch")).filter("i is not null")
+        received = F.coalesce("r", F.lit(int(NEVER)))
         best = known.groupBy("i", "batch").agg(F.min(F.struct(received.alias("received"), "id")).alias("b"))
         return best.select(F.pmod(F.xxhash64("i"), F.lit(self.prefixes)).alias("prefix"), F.unhex(F.sha2("i", 256)).alias("key"), "batch", "b.received", "b.id")
 

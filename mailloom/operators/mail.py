@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailloom.config import EngineConfig
 from mailloom.functions import text as X
+from mailloom.functions.instants import micros
 from mailloom.operators.ordered import with_neighbours, with_previous
 from mailloom.schemas import META, require
 
@@ -36,8 +37,8 @@ def threads(mail: DataFrame) -> DataFrame:
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    """Whole seconds, truncated."""
-    return F.timestamp_diff("SECOND", earlier, later)
+    """Whole seconds between two counts of microseconds, truncated."""
+    return ((later - earlier) / 1_000_000).cast("long")
 
 
 def meta_features(mail: DataFrame, config: EngineConfig = EngineConfig(), global_gap: bool = True) -> DataFrame:
@@ -53,7 +54,7 @@ def meta_features(mail: DataFrame, config: EngineConfig = EngineConfig(), global
     internal = F.coalesce(F.array_contains(domains, own), F.lit(False))
     other = F.size(F.filter(domains, lambda x: ~x.eqNullSafe(own))) > 0
     out = mail.select(
-        "_ordinal", "message_id", "date", "sender", hour.alias("sent_hour"), F.weekday("date").alias("sent_weekday"),
+        "_ordinal", "message_id", micros(mail, "date").alias("date"), "sender", hour.alias("sent_hour"), F.weekday("date").alias("sent_weekday"),
         (F.lit(True) if config.strict_reference else (hour < start) | (hour >= end)).alias("is_after_hours"),
         (F.weekday("date") > 4).alias("is_weekend"),
         X.recipients(F.col("to_list"), F.col("cc_list"), F.col("bcc_list"), strict=config.strict_reference).alias("n_recipient"),
@@ -62,7 +63,7 @@ def meta_features(mail: DataFrame, config: EngineConfig = EngineConfig(), global
     )
     # The gaps last, on narrow rows: bodies are not written or sorted.
     out = with_neighbours(out, "sender", "date", "_own", None, "date", "_ordinal")
-    out = with_previous(out, "date", "_any", "date", "_ordinal") if global_gap else out.withColumn("_any", F.lit(None).cast(out.schema["date"].dataType))
+    out = with_previous(out, "date", "_any", "date", "_ordinal") if global_gap else out.withColumn("_any", F.lit(None).cast("long"))
     gaps = {"response_time": seconds_between(F.col("date"), F.col("_any")), "time_since_last_email": seconds_between(F.col("date"), F.col("_own"))}
     return out.withColumns(gaps).select(*META.names[:1], "_ordinal", *META.names[1:])
 

@@ -63,3 +63,16 @@ def test_edges(spark):
     assert {r[0] for r in redundant_deliveries(table(spark, data)).collect()} == {3}
     kept = exactly_once(table(spark, data))
     assert {r["id"] for r in kept.collect()} == {1, 2, 4} and "extra" in kept.columns
+
+
+def test_zoneless_times_do_not_depend_on_the_session(spark):
+    """Two readings that New York's clock skips or shows twice keep their order."""
+    rows = [(1, "a", "2024-03-10 02:45:00"), (2, "a", "2024-03-10 03:15:00"), (3, "b", "2024-03-10 03:15:00.000001"), (4, "b", "2024-03-10 02:59:59.5")]
+    df = spark.createDataFrame(rows, "id long, message_id string, t string").select("id", "message_id", F.col("t").cast("timestamp_ntz").alias("received_at"), F.lit(0).alias("batch_no"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert {r[0] for r in redundant_deliveries(df).collect()} == {2, 3}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
