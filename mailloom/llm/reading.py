@@ -37,9 +37,9 @@ FUNCTION_WORDS = {
 }
 SUBORDINATORS = frozenset("although because while since whereas which that if when unless provided thereby whose nor notwithstanding pursuant".split())
 LANGUAGE = defaultdict(tuple)
-for _name, _list in FUNCTION_WORDS.items():
+for _number, _list in enumerate(FUNCTION_WORDS.values()):  # English is number 0
     for _w in _list:
-        LANGUAGE[_w] += (_name,)
+        LANGUAGE[_w] += (_number,)
 LANGUAGE = dict(LANGUAGE)
 
 
@@ -55,13 +55,14 @@ def analysed(text: str | None, least: int = LEAST_CHARS) -> tuple[list[list[str]
     letters, digits = sum(len(w) for s in segments for w in s), sum(map(plain.count, "0123456789"))
     if letters + digits < 0.6 * least or digits > 0.3 * letters:
         return None
-    seen = Counter()
+    seen, get = [0] * len(FUNCTION_WORDS), LANGUAGE.get
     for s in segments:
         for w in s:
-            if w in LANGUAGE:
-                seen.update(LANGUAGE[w])
-    other = max(seen["de"], seen["fr"], seen["es"])
-    return (segments, digits, plain.count(","), len(plain)) if other <= seen["en"] or other < 3 else None
+            if languages := get(w):
+                for k in languages:
+                    seen[k] += 1
+    other = max(seen[1:])
+    return (segments, digits, plain.count(","), len(plain)) if other <= seen[0] or other < 3 else None
 
 
 NAMES = [
