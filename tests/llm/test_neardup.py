@@ -116,6 +116,26 @@ def test_overlap_equals_brute_force(spark, hot):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_overlap_in_families_of_many_evaluation_versions(spark):
+    """Excerpts hold few of a family's frequent passages; their pairs may not be lost to the limit on frequent ones."""
+    rng = random.Random(4)
+    rows = []
+    for family in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for i in range(24):
+            size = 400 if i < 12 else int(400 * rng.uniform(0.63, 0.68))
+            at = rng.randrange(401 - size)
+            w = base[at : at + size]
+            for _ in range(2 if i < 12 else i % 2):
+                w[rng.randrange(size)] = f"x{rng.randrange(99999)}"
+            rows.append((100 * family + i, None, " ".join(w)))
+    splits = spark.createDataFrame([(r[0], "eval" if r[0] % 100 < 12 else "train") for r in rows], "id long, split_name string")
+    emails = spark.createDataFrame([(*r, "f") for r in rows], "id long, message_id string, body string, x_folder string")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] % 100 >= 12 > b[0] % 100 and a[0] // 100 == b[0] // 100 and similar(a[2], b[2])}
+    got = {(r["train_id"], r["eval_id"]) for r in cross_split_pairs(emails, splits).collect()}
+    assert len(want) > 300 and got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
 def test_overlap_without_one_side(spark):
     emails = spark.createDataFrame([(1, "a", "x " * 30, "f"), (2, "b", None, "f")], "id long, message_id string, body string, x_folder string")
     splits = spark.createDataFrame([(1, "train"), (2, None)], "id long, split_name string")
