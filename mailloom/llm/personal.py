@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -226,23 +227,39 @@ def replaced(text: str | None, spans: list[tuple[str, int, int]], by: object) ->
     return "".join([*out, text[at:]])
 
 
-# Surrogate given names by gender, and the syllables surrogate surnames are made of.
-SURROGATE_GIVEN = {"f": "Alma Berta Clara Doris Edith Flora Gerda Helga Irma Judith Karin Linda Martha Nora Olga Paula".split(), "m": "Adam Boris Carl David Erik Felix Georg Henry Igor Johan Kurt Louis Marco Nils Otto Peter".split()}
-SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+@lru_cache(maxsize=4096)
+def alphabet(c: str, last: bool) -> str:
+    """The characters that may stand for the lower-cased c: vowels for vowels, consonants for consonants, digits for digits, other letters for those of their block.
+
+    The last letter tells the gender of a given name, so a, e, i and o, u are apart there. Other characters stand for themselves.
+    """
+    for group in ("aei", "ou") if last else ("aeiou",):
+        if c in group:
+            return group
+    for group in ("bcdfghjklmnpqrstvwxyz", "0123456789"):
+        if c in group:
+            return group
+    cased = lambda d: d.isalpha() and d.lower() == d and len(d.upper()) == 1 and d.upper().lower() == d
+    if c.isascii() or not cased(c):
+        return c
+    block = ord(c) & ~0xFF
+    return "".join(d for d in map(chr, range(block, block + 256)) if cased(d))
 
 
 class Surrogates:
     """Keyed, type-consistent replacements: equal mentions get equal ones, different ones different ones.
 
-    Digits go through a keyed permutation of digit strings of their length (a Feistel network), so numbers of one
-    format can't collide; words go to syllables of a keyed digest, and a collision within the run is resolved by
-    counting up. Case, order, separators and the form of each mention stay; given names keep the gender their
-    ending suggests.
+    All are functions of the key and the mention alone, so tasks, retries and partitionings agree without sharing
+    anything. Digits go through a keyed permutation of digit strings of their length (a Feistel network); words go
+    through a keyed cycle over all words of their form (alphabet() of each place), which can neither collide nor
+    leave a word as it is. Case, order, separators and the form of each mention stay; given names keep the gender
+    their ending suggests.
     """
 
+    ROUNDS = 8
+
     def __init__(self, key: bytes) -> None:
         self.key = key
-        self.taken: dict[str, str] = {}
         self.words: dict[str, str] = {}
 
     def number(self, *parts: object) -> int:
@@ -259,22 +276,40 @@ class Surrogates:
                 continue
         return a + b
 
-    def word(self, word: str, given: bool) -> str:
-        low = word.lower()
+    def large(self, *parts: object) -> int:
+        return int.from_bytes(hmac.digest(self.key, "\x1f".join(map(str, parts)).encode(), "sha512"), "big")
+
+    def cycled(self, low: str) -> str:
+        """The next word in a keyed cycle over all words of this one's form: a Feistel network's places, counted one up."""
+        letters = [i for i, c in enumerate(low) if c.isalpha()]
+        sets = [alphabet(c, bool(letters) and i == letters[-1]) for i, c in enumerate(low)]
+        half = (len(low) + 1) // 2
+        sizes = [math.prod(map(len, sets[:half])), math.prod(map(len, sets[half:]))]
+        form = "\x1f".join(x if len(x) == 1 else x[0] + str(len(x)) for x in sets)
+        x = [0, 0]
+        for i, (c, group) in enumerate(zip(low, sets)):
+            x[i >= half] = x[i >= half] * len(group) + group.index(c)
+
+        def turned(sign: int) -> None:
+            for k in range(self.ROUNDS)[::sign]:
+                x[k % 2] = (x[k % 2] + sign * self.large("word", form, k, x[1 - k % 2])) % sizes[k % 2]
+
+        turned(1)
+        x[:] = divmod((x[0] * sizes[1] + x[1] + 1) % (sizes[0] * sizes[1]), sizes[1])
+        turned(-1)
+        out = []
+        for i in reversed(range(len(low))):
+            x[i >= half], k = divmod(x[i >= half], len(sets[i]))
+            out.append(sets[i][k])
+        return "".join(reversed(out))
+
+    def word(self, word: str) -> str:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
         if low not in self.words:
-            n, tries = self.number("given" if given else "word", low), 0
-            while True:
-                if given:
-                    pool = SURROGATE_GIVEN["f" if low[-1] in "aei" else "m"]
-                    new = pool[(n + tries) % len(pool)] + ("" if tries < len(pool) else "".join(SYLLABLES[(n >> (6 * i)) % len(SYLLABLES)] for i in range(tries // len(pool))))
-                else:
-                    new = "".join(SYLLABLES[((n + tries) >> (7 * i)) % len(SYLLABLES)] for i in range(5)).capitalize()
-                if self.taken.setdefault(new, low) == low:
-                    break
-                tries += 1
-            self.words[low] = new
-        new = self.words[low]
-        return new.upper() if word.isupper() and len(word) > 1 else new.lower() if word.islower() else new
+            if len(self.words) > 100_000:
+                self.words.clear()
+            self.words[low] = self.cycled(low)
+        return "".join(n.upper() if c != d and len(n.upper()) == 1 else n for n, c, d in zip(self.words[low], word, low))
 
     def __call__(self, kind: str, mention: str) -> str:
         if kind in ("phone", "id_number"):
@@ -282,20 +317,12 @@ class Surrogates:
             return "".join(next(new) if c.isdigit() else c for c in mention)
         if kind == "email":
             m = re.match(r"[^\s@(\[{]+", mention)
-            return self.word(m[0], False).lower() + mention[m.end() :] if m else mention
+            return self.word(m[0]).lower() + mention[m.end() :] if m else mention
         if kind == "address":
             new = iter(self.digits("".join(filter(str.isdigit, mention)), kind))
             mention = "".join(next(new) if c.isdigit() else c for c in mention)
-            return re.sub(r"[A-Z][a-z]{3,}", lambda m: m[0] if m[0] in STREET_TYPES.split("|") + ["Suite", "Unit"] else self.word(m[0], False), mention, count=2)
-        first = True
-        out = []
-        for part in re.split(r"([^\W\d_]{2,})", mention):
-            if len(part) > 1 and part.isalpha():
-                out.append(self.word(part, first and "," not in mention))
-                first = False
-            else:
-                out.append(part)
-        return "".join(out)
+            return re.sub(r"[A-Z][a-z]{3,}", lambda m: m[0] if m[0] in STREET_TYPES.split("|") + ["Suite", "Unit"] else self.word(m[0]), mention, count=2)
+        return "".join(self.word(part) if len(part) > 1 and part.isalpha() else part for part in re.split(r"([^\W\d_]{2,})", mention))
 
 
 HEADER = re.compile(r"^\s*([^\W\d_][\w'’-]+),\s*([^\W\d_][\w'’-]+)\s*$|^\s*([^\W\d_][\w'’-]+)\s+(?:[A-Z]\.?\s+)*([^\W\d_][\w'’-]+)\s*$")

@@ -121,6 +121,34 @@ def test_surrogates_keep_form_and_distinctness():
     assert personal.replaced("a Ximena b", [("name", 2, 8)], lambda k, _: f"[{k}]") == "a [name] b" and personal.replaced(None, [], by) is None
 
 
+def test_surrogates_are_functions_of_key_and_word():
+    """Whatever a task saw before, a word gets the same surrogate; different words get different ones, also across tasks."""
+    rng = random.Random(3)
+    given = [a + b + c for a in ("xim", "dor", "kal", "per", "lun") for b in ("en", "or", "ab", "it") for c in ("a", "e", "o", "n", "ur")]
+    words = given + ["Müller".lower(), "andré", "o", "a", "ürük", "иван", "李", "a.b+c_1", "a.b+c_2"]
+    whole = {w: personal.Surrogates(b"key").word(w) for w in words}
+    assert len(set(whole.values())) == len(words) and all(w != n and len(w) == len(n) for w, n in whole.items())
+    for _ in range(3):
+        by = personal.Surrogates(b"key")
+        for w in rng.sample(words, len(words)):
+            assert by.word(w) == whole[w]
+    assert all((w[-1] in "aei") == (whole[w][-1] in "aei") for w in given)
+    assert personal.Surrogates(b"key").word("XimenA") == "".join(n.upper() if c.isupper() else n for n, c in zip(personal.Surrogates(b"key").word("ximena"), "XimenA"))
+    small = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aei"]
+    assert sorted(map(personal.Surrogates(b"key").word, small)) == sorted(small)
+
+
+def test_surrogates_agree_between_partitionings(spark):
+    given = [a + b + c for a in ("Xim", "Dor", "Kal", "Per", "Lun") for b in ("en", "or", "ab", "it") for c in ("a", "e")]
+    rows = [(i, None, f"Call {g} Kovova or {given[-i]} Garsova", None, None, None) for i, g in enumerate(given, 1)]
+    emails = spark.createDataFrame(rows, "id long, subject string, body string, x_from string, x_to string, x_cc string")
+    path = personal.collected_people(emails, spark.createDataFrame([(f"{g} Kovova",) for g in given], "owner_name string"))
+    one, many = ({r["id"]: r["body"] for r in personal.rewritten(emails.repartition(n, "id"), path, b"key").collect()} for n in (1, 7))
+    assert one == many
+    new = {g: one[i].split()[1] for i, g in enumerate(given, 1)}
+    assert len(set(new.values())) == len(given) and all(one[i].split()[4] == new[given[-i]] for i in range(1, len(given) + 1))
+
+
 def test_mentions(spark):
     emails = spark.createDataFrame([(1, "Call Ximena", "Call Ximena, Ximena", "Kovova, Ximena", None, None), (2, None, "", "Garsova, Ximena", None, None)], "id long, subject string, body string, x_from string, x_to string, x_cc string")
     boxes = spark.createDataFrame([("Declan Kovova",)], "owner_name string")
