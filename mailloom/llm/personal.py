@@ -227,6 +227,13 @@ def replaced(text: str | None, spans: list[tuple[str, int, int]], by: object) ->
     return "".join([*out, text[at:]])
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_TYPES = frozenset(STREET_TYPES.lower().split("|"))
+_FUSED = re.compile(r"(?<=..)(?:weg|straße|strasse|str|platz|allee|gasse)$", re.I)
+_UNIT = re.compile(rf"(?:Suite|Ste|Apt|Apartment|Unit|Room|Floor|SUITE|APT|UNIT)\b\.?{GAP}+[\dA-Z]+\b")
+_BOX = re.compile(rf"P\.?{GAP}?O\.?{GAP}?Box\b")
+
+
 @lru_cache(maxsize=4096)
 def alphabet(c: str, last: bool) -> str:
     """The characters that may stand for the lower-cased c: vowels for vowels, consonants for consonants, digits for digits, other letters for those of their block.
@@ -256,14 +263,15 @@ class Surrogates:
     their ending suggests.
     """
 
-    ROUNDS = 8
+    ROUNDS = 4  # each way
 
     def __init__(self, key: bytes) -> None:
         self.key = key
+        self.short = hashlib.blake2b(key).digest()
         self.words: dict[str, str] = {}
 
     def number(self, *parts: object) -> int:
-        return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest()[:8], "big")
+        return int.from_bytes(hmac.digest(self.key, "\x1f".join(map(str, parts)).encode(), "sha256")[:8], "big")
 
     def digits(self, digits: str, kind: str) -> str:
         if len(digits) < 2:
@@ -277,7 +285,7 @@ class Surrogates:
         return a + b
 
     def large(self, *parts: object) -> int:
-        return int.from_bytes(hmac.digest(self.key, "\x1f".join(map(str, parts)).encode(), "sha512"), "big")
+        return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=self.short).digest(), "big")
 
     def cycled(self, low: str) -> str:
         """The next word in a keyed cycle over all words of this one's form: a Feistel network's places, counted one up."""
@@ -311,6 +319,25 @@ class Surrogates:
             self.words[low] = self.cycled(low)
         return "".join(n.upper() if c != d and len(n.upper()) == 1 else n for n, c, d in zip(self.words[low], word, low))
 
+    def address(self, mention: str) -> str:
+        """Every number and word is replaced, of any length and case, but the street type, unit words before a unit, and "P.O. Box"."""
+        digits = "".join(filter(str.isdigit, mention))
+        new = iter(self.digits(digits, "address") if len(digits) > 1 else self.word(digits))
+        mention = "".join(next(new) if c.isdigit() else c for c in mention)
+        box = _BOX.match(mention)
+        out, at, typed = [mention[: box.end() if box else 0]], box.end() if box else 0, box is not None
+        for m in _LETTERS.finditer(mention, at):
+            word, out, at = m[0], [*out, mention[at : m.start()]], m.end()
+            fused = _FUSED.search(word) if m.start() == 0 else None
+            if fused:
+                word, typed = self.word(word[: fused.start()]) + fused[0], True
+            elif not typed and out[-1] and m.start() > 0 and word.lower() in _TYPES:
+                typed = True
+            elif not (typed and _UNIT.match(mention, m.start())):
+                word = self.word(word)
+            out.append(word)
+        return "".join([*out, mention[at:]])
+
     def __call__(self, kind: str, mention: str) -> str:
         if kind in ("phone", "id_number"):
             new = iter(self.digits("".join(filter(str.isdigit, mention)), kind))
@@ -319,9 +346,7 @@ class Surrogates:
             m = re.match(r"[^\s@(\[{]+", mention)
             return self.word(m[0]).lower() + mention[m.end() :] if m else mention
         if kind == "address":
-            new = iter(self.digits("".join(filter(str.isdigit, mention)), kind))
-            mention = "".join(next(new) if c.isdigit() else c for c in mention)
-            return re.sub(r"[A-Z][a-z]{3,}", lambda m: m[0] if m[0] in STREET_TYPES.split("|") + ["Suite", "Unit"] else self.word(m[0]), mention, count=2)
+            return self.address(mention)
         return "".join(self.word(part) if len(part) > 1 and part.isalpha() else part for part in re.split(r"([^\W\d_]{2,})", mention))
 
 

@@ -1,6 +1,7 @@
 """Tokens, packing, personal information, new text, reading level."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -121,6 +122,18 @@ def test_surrogates_keep_form_and_distinctness():
     assert personal.replaced("a Ximena b", [("name", 2, 8)], lambda k, _: f"[{k}]") == "a [name] b" and personal.replaced(None, [], by) is None
 
 
+@pytest.mark.parametrize("mention,kept", [
+    ("2023 Drover Avenue, Brenabluff, CO 40047", "Avenue"), ("12 MAPLE ROAD", "ROAD"), ("7 Oak Ln", "Ln"), ("9136 Beacon Birchmoor Ln, Suite 500, Westendale", "Ln Suite"), ("12 N. Oak Hill St. Apt. 4B, St Ives TX", "St Apt"),
+    ("Millweg 81, 46599 Dunmacreek", ""), ("P.O. Box 12, Westcreek, CO 30921", "P O Box"), ("5 O'Neil Court #6, Unitville", "Court"), ("31A Old Reed Way", "Way"),
+])
+def test_surrogate_addresses_keep_no_word(mention, kept):
+    new = personal.Surrogates(b"key")("address", mention)
+    before, after = (re.findall(r"[^\W\d_]+", x) for x in (mention, new))
+    assert [a for a, b in zip(before, after) if a == b] == kept.split() and len(before) == len(after)
+    assert re.sub(r"\w", "", new) == re.sub(r"\w", "", mention) and re.findall(r"\d+", new) != re.findall(r"\d+", mention)
+    assert mention != "Millweg 81, 46599 Dunmacreek" or after[0].endswith("weg")
+
+
 def test_surrogates_are_functions_of_key_and_word():
     """Whatever a task saw before, a word gets the same surrogate; different words get different ones, also across tasks."""
     rng = random.Random(3)
