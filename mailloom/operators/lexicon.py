@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+import xxhash
+from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,23 @@ SEEDS = [
     ("automated", "this mail came from outside", "Seed", 1.0), ("automated", "registered under number", "Generated", 0.7),
 ]
 
+# The English stop words that scikit-learn's vectorisers remove.
+STOP_WORDS = (
+    "a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an and "
+    "another any anyhow anyone anything anyway anywhere are around as at back be became because become becomes becoming been before beforehand behind being "
+    "below beside besides between beyond bill both bottom but by call can cannot cant co con could couldnt cry de describe detail do done down due during "
+    "each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fifty fill find fire "
+    "first five for former formerly forty found four from front full further get give go had has hasnt have he hence her here hereafter hereby herein "
+    "hereupon hers herself him himself his how however hundred i ie if in inc indeed interest into is it its itself keep last latter latterly least less "
+    "ltd made many may me meanwhile might mill mine more moreover most mostly move much must my myself name namely neither never nevertheless next nine no "
+    "nobody none noone nor not nothing now nowhere of off often on once one only onto or other others otherwise our ours ourselves out over own part per "
+    "perhaps please put rather re same see seem seemed seeming seems serious several she should show side since sincere six sixty so some somehow someone "
+    "something sometime sometimes somewhere still such system take ten than that the their them themselves then thence there thereafter thereby therefore "
+    "therein thereupon these they thick thin third this those though three through throughout thru thus to together too top toward towards twelve twenty "
+    "two un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever "
+    "whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves"
+).split()
+
 
 def normalised_lexicon(raw: DataFrame, name: Column) -> DataFrame:
     """(lexicon, prototype, source, similarity, _ordinal): lower-cased and stripped, similarity 0 where it is no number, first row per prototype; empty prototypes dropped."""
@@ -69,21 +87,70 @@ def phrase_counts(df: DataFrame, column: str, phrases: list[str]) -> DataFrame:
     return counted.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(str(i)).alias("n")) for i, p in enumerate(phrases)])).alias("r")).select("r.*")
 
 
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS  # counters of a task's sketch of n-grams: 8 MB
+
+
+def word_runs(lists: pa.ListArray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """For each n: n, and of every run of n words its 64-bit hash, list and place among all tokens; and the tokens."""
+    tokens = lists.flatten()
+    coded = tokens.dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    words = known[coded.indices.to_numpy()] if len(tokens) else np.zeros(0, np.uint64)
+    sizes = np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the end of the list
+    h = np.zeros(len(words), np.uint64)
+    for n in range(1, high + 1):
+        at = np.flatnonzero(left >= n)
+        longer = np.zeros_like(h)
+        x = (h[at] ^ words[at + n - 1]) * np.uint64(0x9E3779B97F4A7C15)
+        longer[at] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = longer
+        if n >= low:
+            yield n, h[at], doc[at], at, tokens
+
+
 def frequent_phrases(df: DataFrame, column: str, stop_words: list[str], low: int = 3, high: int = 6, min_docs: int = 10, max_share: float = 0.8, top: int = 50_000, least_rate: float = 0.01) -> DataFrame:
     """(ngram, rate): mean occurrences per document of word n-grams, stop words removed first, from both ends of each text (1000 characters), as the boilerplate rule defines them.
 
-    Kept: in at least min_docs and at most max_share of the documents, among the `top` most frequent, and above least_rate.
+    Kept: in at least min_docs and at most max_share of the documents, among the `top` most frequent, and above least_rate. A first pass counts hashes of n-grams in a sketch of fixed size; the second counts
+    exactly those n-grams whose slot reaches the limits, so rare ones are never shuffled.
     """
     ends = F.concat(F.substring(text(F.col(column)), 1, 1000), F.lit(" "), F.right(text(F.col(column)), F.lit(1000)))
-    base = df.select(F.monotonically_increasing_id().alias("_doc"), F.lower(ends).alias("_t"))
+    base = df.select(F.lower(ends).alias("_t"))
     words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(base)
     words = StopWordsRemover(inputCol="_w", outputCol="_s", stopWords=stop_words or [""]).transform(words)
-    for n in range(low, high + 1):
-        words = NGram(n=n, inputCol="_s", outputCol=f"_{n}").transform(words)
-    grams = words.select("_doc", F.explode(F.concat(*[f"_{n}" for n in range(low, high + 1)])).alias("ngram")).groupBy("ngram", "_doc").agg(F.count("*").alias("tf"))
+    words = words.select("_s")
     total = df.count()
-    per = grams.groupBy("ngram").agg(F.sum("tf").alias("count"), F.count("*").alias("docs")).filter((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * total))
-    return per.orderBy(F.desc("count"), "ngram").limit(top).select("ngram", (F.col("count") / total).alias("rate")).filter(F.col("rate") > least_rate)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for _, h, _, _, _ in word_runs(b.column("_s"), low, high):
+                counts += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    # A slot counts at least what each of its n-grams does, so those of other slots can't be kept.
+    slots = words.mapInArrow(sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter((F.col("n") > least_rate * total) & (F.col("n") >= min_docs))
+    hot = np.zeros(SLOTS, bool)
+    hot[slots.select("slot").toPandas()["slot"].to_numpy(np.int64)] = True
+    packed = np.packbits(hot)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            for n, h, doc, at, tokens in word_runs(b.column("_s"), low, high):
+                kept = hot[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                _, first, which = np.unique(h[kept], return_index=True, return_inverse=True)
+                pairs = np.unique(which * np.int64(len(b)) + doc[kept]) // max(1, len(b))
+                runs = [" ".join(tokens[k : k + n].to_pylist()) for k in at[kept][first].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(np.bincount(which, minlength=len(first))), pa.array(np.bincount(pairs, minlength=len(first)))], names=["ngram", "count", "docs"])
+
+    per = words.mapInArrow(counted, "ngram string, count long, docs long").groupBy("ngram").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    per = per.filter((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * total)).withColumn("rate", F.col("count") / total).filter(F.col("rate") > least_rate)
+    return per.orderBy(F.desc("count"), "ngram").limit(top).select("ngram", "rate")
 
 
 Embed = Callable[[list[str]], np.ndarray]

@@ -10,7 +10,7 @@ from mailloom.functions import text as X
 from mailloom.operators import analytics as A
 from mailloom.operators import mail as M
 from mailloom.operators.knn import normalised
-from mailloom.operators.lexicon import coverage, frequent_phrases, phrase_counts, seed_lexicon
+from mailloom.operators.lexicon import STOP_WORDS, coverage, frequent_phrases, phrase_counts, seed_lexicon
 from mailloom.operators.ordered import keep_first
 from mailloom.operators.splits import stratified_folds, thread_split
 from mailloom.operators.weak import covered_summary, labelling_functions, vote_patterns, vote_summary, voted
@@ -75,6 +75,7 @@ QUERIES = {
     "vote_summary": lambda s, d: vote_summary(_votes(s, d), list(labelling_functions(seed_lexicon(s)))),
     "vote_coverage": lambda s, d: covered_summary(_votes(s, d)),
     "frequent_phrases": lambda s, d: frequent_phrases(view(s, d), "body", [], 3, 3, 10, 0.8, 200, 0.01),
+    "frequent_phrases_whole": lambda s, d: frequent_phrases(view(s, d), "body", STOP_WORDS),
     "thread_split": lambda s, d: thread_split(threads(s, d)).select("_ordinal", "thread_id", "split"),
     "stratified_folds": lambda s, d: stratified_folds(_labelled(s, d), "label", "_ordinal").select("_ordinal", "label", "fold"),
     "union_all": lambda s, d: read_table(s, d, "emails").select("id", "subject").unionByName(read_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("subject"))),

@@ -184,6 +184,30 @@ def test_lexicon(spark):
     assert {r["id"] for r in phrases} == {1} and 1 <= len(phrases) <= 5
 
 
+def test_frequent_phrases_whole_equals_brute_force(spark):
+    """The registered whole query takes 3 to 6 words, removes stop words and keeps more than 200 phrases."""
+    import re
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    from mailloom.plans.mail import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    texts = [b or "" for b in pq.read_table(f"{d}/emails.parquet", columns=["body"])["body"].to_pylist()]
+    count, docs = Counter(), Counter()
+    for t in texts:
+        w = [x for x in re.findall(r"\w{2,}", (t[:1000] + " " + t[-1000:]).lower()) if x not in set(lexicon.STOP_WORDS)]
+        grams = Counter(" ".join(w[i : i + n]) for n in range(3, 7) for i in range(len(w) - n + 1))
+        count.update(grams)
+        docs.update(grams.keys())
+    top = sorted((g for g in count if 10 <= docs[g] <= 0.8 * len(texts)), key=lambda g: (-count[g], g))[:50_000]
+    want = {g: count[g] / len(texts) for g in top if count[g] / len(texts) > 0.01}
+    got = {r["ngram"]: r["rate"] for r in QUERIES["frequent_phrases_whole"](spark, d).collect()}
+    assert {len(g.split()) for g in want} == {3, 4, 5, 6} and len(want) > 200 and len(lexicon.STOP_WORDS) == 318
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+
+
 def test_lexicon_growth(spark):
     m = spark.createDataFrame([(i, "s", f"Please send the file number {i}. Other words here entirely.") for i in range(20)], "_ordinal long, subject string, body string")
     seed = lexicon.seed_lexicon(spark)
