@@ -60,6 +60,7 @@ QUERIES = {
     "volume_by_year": lambda s, d: A.counts_by(view(s, d), year=F.year("date"), unusual=F.year("date").isin(1980, 1997)),
     "volume_by_hour_pivot": lambda s, d: A.pivot_counts(view(s, d).filter("date is not null"), F.hour("date"), "hour", {"weekdays": F.weekday("date") < 5, "weekend": F.weekday("date") > 4}),
     "dense_hours": lambda s, d: A.dense(A.counts_by(read_table(s, d, "events").filter(F.minute("ts") == 0), hour=F.hour("ts")), "hour", 24, "n"),
+    "dense_hours_whole": lambda s, d: A.dense(A.counts_by(read_table(s, d, "events").filter("ts is not null"), hour=F.hour("ts")), "hour", 24, "n"),
     "domain_activity_topk": lambda s, d: A.activity(threads(s, d), "sender_domain", 15),
     "sender_activity": lambda s, d: A.activity(threads(s, d), "sender"),
     "two_ended_topk": lambda s, d: A.two_ends(A.activity(threads(s, d), "sender").filter("sender is not null"), "total_volume", "sender", 15),
@@ -218,6 +219,7 @@ ORACLE = {
     "volume_by_year": f"{VIEW} SELECT year(date)::INT AS year, year(date) IN (1980, 1997) AS unusual, count(*) AS n FROM m GROUP BY ALL",
     "volume_by_hour_pivot": f"{VIEW} SELECT hour(date)::INT AS hour, count(*) FILTER (isodow(date) < 6) AS weekdays, count(*) FILTER (isodow(date) > 5) AS weekend FROM m WHERE date IS NOT NULL GROUP BY 1",
     "dense_hours": "SELECT r.range::INT AS hour, count(ts) AS n FROM range(24) r LEFT JOIN (SELECT ts FROM events WHERE minute(ts) = 0) e ON hour(ts) = r.range GROUP BY 1",
+    "dense_hours_whole": "SELECT r.range::INT AS hour, count(ts) AS n FROM range(24) r LEFT JOIN events ON hour(ts) = r.range GROUP BY 1",
     "domain_activity_topk": f"{_activity('sender_domain')} SELECT * FROM a ORDER BY total_volume DESC, sender_domain NULLS FIRST LIMIT 15",
     "sender_activity": f"{_activity('sender')} SELECT * FROM a",
     "two_ended_topk": f"{_activity('sender')} (SELECT * FROM a WHERE sender IS NOT NULL ORDER BY total_volume DESC, sender LIMIT 15) UNION (SELECT * FROM a WHERE sender IS NOT NULL ORDER BY total_volume, sender LIMIT 15)",

@@ -208,6 +208,21 @@ def test_frequent_phrases_whole_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
 
 
+def test_whole_queries_read_whole_tables(spark):
+    """All events count, and e-mails take vectors from the whole embeddings table."""
+    from mailloom.plans import mail as plans
+    from mailloom.plans import scores
+
+    d = "/root/testdata/sf0.1"
+    events = spark.read.parquet(f"{d}/events.parquet").filter("ts is not null").count()
+    assert sum(r["n"] for r in plans.QUERIES["dense_hours_whole"](spark, d).collect()) == events
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    assert vectors > 500 and scores._mail_vectors_by_mail(spark, d, None).select("embedding").distinct().count() > 500
+    assert "near_dup_removed_whole" in scores.QUERIES
+    best = scores.QUERIES["semantic_max_whole"](spark, d.replace("sf0.1", "sf0.01")).groupBy("id").agg(F.max("similarity").alias("s"))
+    assert best.filter("s > 0.9999").count() == best.count() > 20  # each text is among the terms
+
+
 def test_lexicon_growth(spark):
     m = spark.createDataFrame([(i, "s", f"Please send the file number {i}. Other words here entirely.") for i in range(20)], "_ordinal long, subject string, body string")
     seed = lexicon.seed_lexicon(spark)
