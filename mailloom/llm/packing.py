@@ -2,8 +2,8 @@
 
 Items only matter by their size, and sizes are whole tokens up to the capacity, so the search runs over a
 histogram of at most `capacity` entries whatever the number of items. For the largest size left, branch and
-bound enumerates undominated completions (fillings no other filling of the same number of larger items
-improves), prunes by the waste bound, and starts from the best-fit filling as incumbent; the filling found is
+bound takes completions largest items first, starts from the best-fit filling as incumbent, and cuts what can't
+waste less by the sums that the smaller sizes and their counts can reach; the filling found is
 used as often as the histogram holds it. What comes out is a list of patterns; items take their places in them
 by their rank within their size, computed by counting, so no size with a third of all items is a hot group.
 """
@@ -24,6 +24,20 @@ NODES = 400  # branch-and-bound nodes a completion may take before the incumbent
 SALTS = 64
 
 
+def sums(room: int, counts: dict[int, int], sizes: list[int]) -> list[int]:
+    """For each k, as bits: the sums up to room of the first k sizes, each at most as often as it is left."""
+    every = (1 << (room + 1)) - 1
+    out = [1]
+    for size in sizes:
+        bits, n, step = out[-1], min(counts[size], room // size), 1
+        while n > 0 and bits != every:
+            step = min(step, n)
+            bits |= (bits << (size * step)) & every
+            n, step = n - step, step * 2
+        out.append(bits)
+    return out
+
+
 def completion(room: int, counts: dict[int, int], sizes: list[int], nodes: int = NODES) -> list[int]:
     """Sizes (descending) that fill `room` best: least waste, then fewer and larger items. sizes: ascending, with counts > 0."""
     def fit(space: int, used: Counter, below: int) -> int:
@@ -40,6 +54,7 @@ def completion(room: int, counts: dict[int, int], sizes: list[int], nodes: int =
         used[size] += 1
         space -= size
     least, left = space, nodes
+    reached = sums(room, counts, sizes) if least else []
 
     def branch(space: int, chosen: list[int], used: Counter, below: int) -> bool:
         nonlocal best, least, left
@@ -50,10 +65,10 @@ def completion(room: int, counts: dict[int, int], sizes: list[int], nodes: int =
             return True
         size = fit(space, used, below)
         while size:
-            # Dominance: items are taken in descending order, and once the largest that fits is left out,
-            # at most what is below it can follow; a branch that can't beat the least waste is cut.
-            most = (space // size) * size + (size - 1 if space % size >= size - 1 else space % size)
-            if space - min(space, most) >= least:
+            # Items are taken in descending order, so only this size and smaller ones can follow; with smaller
+            # ones alone the bound only falls, so the rest is cut too.
+            most = (reached[bisect.bisect_right(sizes, size)] & ((1 << (space + 1)) - 1)).bit_length() - 1
+            if space - most >= least:
                 break
             used[size] += 1
             chosen.append(size)

@@ -65,6 +65,20 @@ def test_completion_finds_an_exact_fill():
     assert sum(packing.completion(100, {60: 1, 55: 1, 45: 1, 20: 3}, [20, 45, 55, 60])) == 100
 
 
+def test_completion_is_bounded_by_reachable_sums():
+    """The one odd size comes first and must be left out: all even fillings after it waste one, more than the nodes a completion may take."""
+    counts = {s: 3 for s in range(200, 400, 2)} | {399: 1}
+    assert sum(packing.completion(5000, counts, sorted(counts))) == 5000
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = {rng.randrange(1, 60): rng.randrange(1, 4) for _ in range(5)}
+        reach = {0}
+        for s, n in counts.items():
+            reach = {r + s * k for r in reach for k in range(n + 1)}
+        got = packing.completion(97, counts, sorted(s for s in counts))
+        assert sum(got) == max(r for r in reach if r <= 97) and all(got.count(s) <= counts[s] for s in got)
+
+
 def test_packed_rows(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([None, 0, 3, 7, 7, 7, 12, 20, 47]), "z") for i in range(300)] + [(5, 7, "z")]
