@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from mailloom.llm import overlap
 from mailloom.llm.graph import connected_components
 from mailloom.llm.neardup import prefix_pairs, run_sets, similar_classes
 from mailloom.llm.p3 import near_duplicate_groups, near_duplicate_pairs
@@ -102,8 +103,11 @@ def test_empty_tables(spark):
     assert near_duplicate_pairs(empty).count() == 0 and near_duplicate_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [0, 50])
-def test_overlap_equals_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "small"), [(0, False), (50, False), (50, True)])
+def test_overlap_equals_brute_force(spark, monkeypatch, hot, small):
+    if small:  # many shards and slices, single expansions
+        for name, value in (("PASSAGES_A_SHARD", 300), ("PASSAGES_A_SLICE", 500), ("EXPANDED", 5), ("TEXTS_AT_ONCE", 3)):
+            monkeypatch.setattr(overlap, name, value)
     rows = corpus(220, 6, hot=hot)
     rng = random.Random(9)
     place = {r[0]: rng.choice(["train", " Train ", "TEST", "eval", None, "other"]) for r in rows}
@@ -112,12 +116,20 @@ def test_overlap_equals_brute_force(spark, hot):
     emails = spark.createDataFrame([(*r, "f", "z") for r in rows], "id long, message_id string, body string, x_folder string, text string")
     side = {i: (s or "").strip().lower() for i, s in place.items()}
     want = {(a[0], b[0]) for a in rows for b in rows if side[a[0]] == "train" and side[b[0]] in ("test", "eval") and (similar(a[2], b[2]) or key(a[1]) and key(a[1]) == key(b[1]))}
-    got = {(r["train_id"], r["eval_id"]) for r in cross_split_pairs(emails, splits).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want)
+    found = cross_split_pairs(emails, splits).collect()
+    assert {(r["train_id"], r["eval_id"]) for r in found} == want
+    text = {r[0]: r[2] for r in rows}
+    for r in found:
+        if r["similarity"] is None:
+            assert r["by_identifier"] and not similar(text[r["train_id"]], text[r["eval_id"]])
+            continue
+        other, w = shingles(text[r["train_id"]]), words(text[r["eval_id"]])
+        covered = {k for i in range(len(w) - 2) if tuple(w[i : i + 3]) in other for k in (i, i + 1, i + 2)}
+        assert r["covered"] == len(covered) and r["coverage"] == pytest.approx(len(covered) / len(w))
 
 
 def test_overlap_in_families_of_many_evaluation_versions(spark):
-    """Excerpts hold few of a family's frequent passages; their pairs may not be lost to the limit on frequent ones."""
+    """Every passage of a family is frequent, and excerpts hold few of them; no pair may be lost."""
     rng = random.Random(4)
     rows = []
     for family in range(8):
@@ -133,7 +145,13 @@ def test_overlap_in_families_of_many_evaluation_versions(spark):
     emails = spark.createDataFrame([(*r, "f") for r in rows], "id long, message_id string, body string, x_folder string")
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] % 100 >= 12 > b[0] % 100 and a[0] // 100 == b[0] // 100 and similar(a[2], b[2])}
     got = {(r["train_id"], r["eval_id"]) for r in cross_split_pairs(emails, splits).collect()}
-    assert len(want) > 300 and got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
+    assert len(want) > 300 and got == want, (len(got), len(want))
+
+
+def test_parts_by_length():
+    got = overlap.parts_by_length([(3, 40), (1, 5), (2, 4), (4, 1), (5, 9), (6, 2)], 10)
+    assert got == [(1, 0, 1), (2, 0, 1), (3, 1, 4), (4, 5, 1), (5, 5, 1), (6, 6, 1)]
+    assert overlap.parts_by_length([], 10) == []
 
 
 def test_overlap_without_one_side(spark):
