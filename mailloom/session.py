@@ -31,14 +31,20 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder; a local session without either gets an own one.
+
+    A cluster without a shared folder is refused: a folder of the driver's machine would lose what executors write.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mailloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found[len("file://"):], ignore_errors=True)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="mailloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
@@ -66,5 +72,43 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+class Documents:
+    """Small texts (model settings, thresholds) in a folder of any file system Spark knows."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def _at(self, name: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def write(self, name: str, text: str) -> None:
+        """Written under another name first, so that a reader never sees half a document."""
+        fs, part = self._at(f".{name}.{uuid.uuid4().hex[:8]}")
+        out = fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        _, at = self._at(name)
+        fs.delete(at, False)
+        if not fs.rename(part, at):
+            raise OSError(f"can't write {at.toString()}")
+
+    def read(self, name: str) -> str:
+        """Raises FileNotFoundError if there is none."""
+        fs, at = self._at(name)
+        if not fs.exists(at):
+            raise FileNotFoundError(at.toString())
+        lines = self.spark._jvm.org.apache.commons.io.IOUtils
+        stream = fs.open(at)
+        try:
+            return lines.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def exists(self, name: str) -> bool:
+        fs, at = self._at(name)
+        return bool(fs.exists(at))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

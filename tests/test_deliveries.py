@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from mailloom.operators.deliveries import DeliveryIndex, exactly_once, redundant_deliveries
+from mailloom.operators.deliveries import DeliveryIndex, exactly_once, redundant_deliveries, replayed
 
 SCHEMA = "id long, message_id string, received long, batch_no int, extra string"
 
@@ -57,6 +58,44 @@ def test_a_batch_returns_only_what_is_new(spark):
     assert {r[0] for r in index.ingest(again).collect()} == {4, 5}
 
 
+def pairs(df):
+    return {(r["id"], r["replaces"]) for r in df.collect()}
+
+
+def test_an_earlier_copy_replaces_the_one_given_before(spark):
+    index = DeliveryIndex(spark, prefixes=2, max_runs=1)
+    assert pairs(index.ingest(table(spark, [(1, "a", 5, 0, ""), (2, "b", 5, 0, "")]))) == {(1, None), (2, None)}
+    assert pairs(index.ingest(table(spark, [(3, "a", 4, 1, ""), (4, "b", 6, 1, "")]))) == {(3, 1)}
+    assert pairs(index.ingest(table(spark, [(5, "a", 1, 2, ""), (6, "b", 1, 2, "")]))) == {(5, 3), (6, 2)}
+    data = rows(300, 7)
+    kept = {r[0] for r in replayed(table(spark, data), index=DeliveryIndex(spark, prefixes=3, max_runs=2)).collect()}
+    with_key = {i for i, m, *_ in data if (m or "").strip().strip("<>").strip()}
+    assert with_key - kept == brute(data)
+
+
+def test_a_retried_batch_gets_its_rows_again(spark):
+    index = DeliveryIndex(spark, prefixes=2, max_runs=1)
+    batch = table(spark, [(1, "a", 5, 0, ""), (2, "b", 5, 0, "")])
+    assert pairs(index.ingest(batch, "s_0")) == pairs(index.ingest(batch, "s_0")) == {(1, None), (2, None)}
+    later = table(spark, [(3, "a", 9, 0, ""), (4, "c", 5, 0, "")])
+    assert pairs(index.ingest(later, "s_1")) == pairs(DeliveryIndex(spark, index.path).ingest(later, "s_1")) == {(4, None)}
+    with pytest.raises(ValueError):
+        index.ingest(later, "a-b")
+
+
+def test_reopening_keeps_the_number_of_prefixes_and_ignores_dead_runs(spark):
+    index = DeliveryIndex(spark, prefixes=5)
+    index.ingest(table(spark, [(i, f"k{i}", 5, 0, "") for i in range(40)]))
+    fs, at = index._fs()
+    fs.mkdirs(at(f"{index.path}/part-dead/prefix=0"))  # what a died run leaves
+    again = DeliveryIndex(spark, index.path, prefixes=3)
+    assert again.prefixes == 5
+    assert pairs(again.ingest(table(spark, [(100 + i, f"k{i}", 6, 0, "") for i in range(41)]))) == {(140, None)}
+    small = DeliveryIndex(spark, index.path, max_runs=1, keys_a_prefix=2)
+    assert pairs(small.ingest(table(spark, [(200, "k200", 6, 0, "")]))) == {(200, None)} and small.prefixes == 25  # merged into more prefixes
+    assert pairs(DeliveryIndex(spark, index.path).ingest(table(spark, [(300 + i, f"k{i}", 7, 0, "") for i in range(42)]))) == {(341, None)}
+
+
 def test_edges(spark):
     assert redundant_deliveries(table(spark, []).limit(0)).count() == 0
     data = [(1, "a", 3, 0, None), (2, "A", 3, 0, None), (3, "a", 3, 0, None), (4, None, None, None, None)]
