@@ -109,6 +109,11 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, "token").filter(fits).select("a", "b").distinct()
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """The (written) keys of a join, broadcast up to BROADCAST_ROWS of them, counted first."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def only(texts: DataFrame, ids: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The texts of the (distinct) ids. Up to broadcast_rows ids (8 bytes each) are broadcast, counted first, so that the texts don't move; more are joined by shuffle."""
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -146,11 +151,16 @@ def similar_classes(records: DataFrame, run: int = 3, least: int = 20, threshold
     """
     prints = written(fingerprinted(records, run, least), "prints")
     classes = prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("symbols").alias("symbols"))
-    shared = Window.partitionBy("variant")
-    hits = written(variants(classes).withColumn("texts", F.count("*").over(shared)).filter("texts > 1"), "hits")
-    cold = hits.filter(F.col("texts") <= hot)
-    found = cold.toDF("variant", "a", "t").join(cold.select("variant", F.col("rep").alias("b")), "variant").filter("a < b").select("a", "b")
-    crowded = hits.filter(F.col("texts") > hot).select(F.col("rep").alias("id")).distinct()
+    classes = written(classes, "classes")
+    every = variants(classes)
+    # Combined before the shuffle, so that a variant of very many classes is no hot group: which are shared at all,
+    # then by how many. Only rows of shared variants are joined.
+    shared = written(every.groupBy("variant").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("variant"), "shared")
+    hits = written(every.join(_small(shared), "variant", "left_semi"), "hits")
+    frequent = written(hits.groupBy("variant").agg(F.count("*").alias("texts")).filter(F.col("texts") > hot).select("variant"), "hot")
+    cold = hits.join(_small(frequent), "variant", "left_anti")
+    found = cold.toDF("variant", "a").join(cold.toDF("variant", "b"), "variant").filter("a < b").select("a", "b")
+    crowded = hits.join(_small(frequent), "variant", "left_semi").select(F.col("rep").alias("id")).distinct()
     if not crowded.isEmpty():
         crowd = written(run_sets(only(records.select("id", "text"), crowded).dropDuplicates(["id"]), run), "crowd")
         found = found.union(prefix_pairs(crowd, threshold))

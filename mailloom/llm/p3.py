@@ -51,4 +51,12 @@ PAIR_SQL = rf"""WITH w AS (SELECT id, nullif(regexp_replace(regexp_replace(messa
   t AS (SELECT id, unnest(s) AS g FROM s),
   o AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS n FROM t x JOIN t y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
   pairs AS (SELECT id_a, id_b, a.tag AS tag_a, b.tag AS tag_b FROM o JOIN s a ON a.id = id_a JOIN s b ON b.id = id_b WHERE n >= 0.6 * (len(a.s) + len(b.s) - n))"""
-ORACLE = {"p3_found": f"{PAIR_SQL} SELECT id_a, id_b FROM pairs WHERE tag_a IS DISTINCT FROM tag_b OR tag_a IS NULL"}
+ORACLE = {
+    "p3_found": f"{PAIR_SQL} SELECT id_a, id_b FROM pairs WHERE tag_a IS DISTINCT FROM tag_b OR tag_a IS NULL",
+    "p3_groups": PAIR_SQL.replace("WITH w", "WITH RECURSIVE w", 1)
+    + """, m AS (SELECT id, min(id) OVER (PARTITION BY w) AS rep FROM w WHERE len(w) >= 20),
+  l AS (SELECT id_a AS a, id_b AS b FROM pairs JOIN m x ON x.id = id_a AND x.rep = id_a JOIN m y ON y.id = id_b AND y.rep = id_b),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT DISTINCT rep AS a, rep AS b FROM m UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+  SELECT m.id, g.root AS group_id, coalesce(n, 0) AS n_links FROM m JOIN (SELECT a, min(b) AS root FROM r GROUP BY 1) g ON g.a = m.rep LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) n ON n.a = m.rep""",
+}
