@@ -1,11 +1,15 @@
 """Filling fixed-capacity containers by bin completion.
 
 Items only matter by their size, and sizes are whole tokens up to the capacity, so the search runs over a
-histogram of at most `capacity` entries whatever the number of items. For the largest size left, branch and
-bound takes completions largest items first, starts from the best-fit filling as incumbent, and cuts what can't
-waste less by the sums that the smaller sizes and their counts can reach; the filling found is
-used as often as the histogram holds it. What comes out is a list of patterns; items take their places in them
-by their rank within their size, computed by counting, so no size with a third of all items is a hot group.
+histogram of at most `capacity` entries whatever the number of items. Containers are completed one after another
+around the largest size left. The best-fit filling is the incumbent; where it wastes room, branch and bound goes
+through the sizes in descending order and cuts a branch unless the smaller sizes left, as often as they are left, can
+still reach the least waste there is (all their sums are known as bits). The bound is exact, so a branch that stays
+always ends in a filling of least waste and the search needs no limit. Of fillings of equal waste the one with the
+most of the largest sizes is taken: no other dominates it, for merging items of a filling into larger ones that it
+could hold instead gives more of a larger size. The filling found is used as often as the histogram holds it. What
+comes out is a list of patterns; items take their places in them by their rank within their size, computed by
+counting, and frequent sizes are ranked in parts, so no size with a third of all items is a hot group.
 """
 
 from __future__ import annotations
@@ -20,8 +24,7 @@ from pyspark.sql import functions as F
 
 from mailloom.session import written
 
-NODES = 400  # branch-and-bound nodes a completion may take before the incumbent stands
-SALTS = 64
+ITEMS_A_SALT = 1_000_000  # of one size, ranked by one task
 
 
 def sums(room: int, counts: dict[int, int], sizes: list[int]) -> list[int]:
@@ -38,50 +41,32 @@ def sums(room: int, counts: dict[int, int], sizes: list[int]) -> list[int]:
     return out
 
 
-def completion(room: int, counts: dict[int, int], sizes: list[int], nodes: int = NODES) -> list[int]:
-    """Sizes (descending) that fill `room` best: least waste, then fewer and larger items. sizes: ascending, with counts > 0."""
-    def fit(space: int, used: Counter, below: int) -> int:
-        """The largest size up to space and below that is left, or 0."""
-        at = bisect.bisect_right(sizes, min(space, below)) - 1
-        while at >= 0 and counts[sizes[at]] <= used[sizes[at]]:
+def completion(room: int, counts: dict[int, int], sizes: list[int]) -> list[int]:
+    """Sizes (descending) that fill `room` with least waste, undominated. sizes: ascending, with counts > 0."""
+    best, space, used = [], room, Counter()
+    at = len(sizes) - 1
+    while at >= 0:  # the incumbent: best fit, one after another
+        at = min(at, bisect.bisect_right(sizes, space) - 1)
+        if at >= 0 and used[sizes[at]] < counts[sizes[at]]:
+            best.append(sizes[at])
+            used[sizes[at]] += 1
+            space -= sizes[at]
+        else:
             at -= 1
-        return sizes[at] if at >= 0 else 0
-
-    best: list[int] = []
-    space, used = room, Counter()
-    while size := fit(space, used, room):  # the incumbent: best fit, one after another
-        best.append(size)
-        used[size] += 1
-        space -= size
-    least, left = space, nodes
-    reached = sums(room, counts, sizes) if least else []
-
-    def branch(space: int, chosen: list[int], used: Counter, below: int) -> bool:
-        nonlocal best, least, left
-        left -= 1
-        if space < least:
-            best, least = chosen[:], space
-        if least == 0 or left <= 0:
-            return True
-        size = fit(space, used, below)
-        while size:
-            # Items are taken in descending order, so only this size and smaller ones can follow; with smaller
-            # ones alone the bound only falls, so the rest is cut too.
-            most = (reached[bisect.bisect_right(sizes, size)] & ((1 << (space + 1)) - 1)).bit_length() - 1
-            if space - most >= least:
-                break
-            used[size] += 1
-            chosen.append(size)
-            if branch(space - size, chosen, used, size):
-                return True
-            chosen.pop()
-            used[size] -= 1
-            size = fit(space, used, size - 1)
-        return False
-
-    if least:
-        branch(room, [], Counter(), room)
-    return best
+    if not space:
+        return best
+    reached = sums(room, counts, sizes)
+    wanted = reached[-1].bit_length() - 1  # the bound: the largest sum of all
+    if room - wanted >= space:
+        return best
+    out: list[int] = []
+    for k in range(len(sizes) - 1, -1, -1):
+        size = sizes[k]
+        # The most of this size after which the smaller ones can still reach the rest.
+        n = next(n for n in range(min(counts[size], wanted // size), -1, -1) if reached[k] >> (wanted - n * size) & 1)
+        out += [size] * n
+        wanted -= n * size
+    return out
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -118,10 +103,13 @@ def packed(items: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
     cut = items.select("doc_id", size.alias("tokens"), F.explode(F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).alias("capacity")) for n, c in capacities if c and c > 0])).alias("k")).select("doc_id", "tokens", "k.*")
     pieces = cut.select("container", "capacity", "doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / F.col("capacity")) - 1, F.lit(0)).cast("int"))).alias("piece_no"))
     pieces = pieces.select("container", "doc_id", "piece_no", F.least(F.col("tokens") - F.col("piece_no") * F.col("capacity"), F.col("capacity")).cast("int").alias("size"))
-    salt = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int")
-    pieces = pieces.withColumn("salt", salt)
+    counts = pieces.groupBy("container", "size").agg(F.count("*").alias("n"))  # at most capacity rows a kind
+    salts = counts.select("container", "size", F.ceil(F.col("n") / ITEMS_A_SALT).cast("int").alias("salts"))
+    frequent = written(salts.filter("salts > 1"), "frequent")
+    salted = pieces.join(F.broadcast(frequent), ["container", "size"], "left")
+    pieces = salted.select("container", "doc_id", "piece_no", "size", F.pmod(F.xxhash64("doc_id", "piece_no"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
 
-    counted = pieces.groupBy("container", "size", "salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity * SALTS rows a kind
+    counted = pieces.groupBy("container", "size", "salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity rows a kind, and one for every ITEMS_A_SALT items
     counted = counted.sort_values(["container", "size", "salt"])
     counted["before"] = counted.groupby(["container", "size"])["n"].cumsum() - counted["n"]
     slots, bins = [], {}
@@ -144,7 +132,7 @@ def packed(items: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
     places = pd.DataFrame(slots, columns=["container", "size", "first", "each", "times", "bin"])
     grouped = [(c, int(s), g[["first", "each", "bin"]].values.tolist()) for (c, s), g in places.groupby(["container", "size"])]
     table = spark.createDataFrame(grouped, "container string, size int, slots array<array<long>>")
-    # Both tables have at most capacity (* SALTS) rows a kind, and as many slots as there are patterns.
+    # Both tables are as small as the counts, with as many slots as there are patterns.
     rank = F.row_number().over(Window.partitionBy("container", "size", "salt").orderBy("doc_id", "piece_no")) - 1
     ranked = pieces.withColumn("r", rank).join(F.broadcast(offsets), ["container", "size", "salt"]).withColumn("r", F.col("r") + F.col("before")).join(F.broadcast(table), ["container", "size"])
     slot = F.element_at(F.filter("slots", lambda s: s[0] <= F.col("r")), -1)

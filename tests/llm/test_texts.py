@@ -66,7 +66,7 @@ def test_completion_finds_an_exact_fill():
 
 
 def test_completion_is_bounded_by_reachable_sums():
-    """The one odd size comes first and must be left out: all even fillings after it waste one, more than the nodes a completion may take."""
+    """The one odd size comes first and must be left out: all even fillings after it waste one."""
     counts = {s: 3 for s in range(200, 400, 2)} | {399: 1}
     assert sum(packing.completion(5000, counts, sorted(counts))) == 5000
     rng = random.Random(5)
@@ -79,7 +79,35 @@ def test_completion_is_bounded_by_reachable_sums():
         assert sum(got) == max(r for r in reach if r <= 97) and all(got.count(s) <= counts[s] for s in got)
 
 
-def test_packed_rows(spark):
+def fillings(room, counts):
+    """All fillings, by brute force."""
+    if not counts:
+        return [()]
+    (size, n), *rest = counts
+    return [(size,) * k + f for k in range(min(n, room // size) + 1) for f in fillings(room - k * size, rest)]
+
+
+def dominates(a, b):
+    """Whether the items of b can be put into the items of a as if those were bins."""
+    if not b:
+        return True
+    return any(dominates(sorted([*a[:i], x - b[0], *a[i + 1 :]], reverse=True), b[1:]) for i, x in enumerate(a) if x >= b[0])
+
+
+def test_no_filling_dominates_a_completion():
+    rng = random.Random(8)
+    for _ in range(60):
+        counts = {rng.randrange(2, 20): rng.randrange(1, 3) for _ in range(4)}
+        got = tuple(packing.completion(30, counts, sorted(counts)))
+        assert list(got) == sorted(got, reverse=True)
+        every = fillings(30, sorted(counts.items(), reverse=True))
+        equal = [f for f in every if sum(f) == sum(got) and f != got]
+        assert not any(dominates(list(f), list(got)) for f in equal)
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 7])
+def test_packed_rows(spark, monkeypatch, at_once):
+    monkeypatch.setattr(packing, "ITEMS_A_SALT", at_once)
     rng = random.Random(7)
     rows = [(i, rng.choice([None, 0, 3, 7, 7, 7, 12, 20, 47]), "z") for i in range(300)] + [(5, 7, "z")]
     out = packing.packed(spark.createDataFrame(rows, "doc_id long, tokens int, bin_no string"), [("s", 20), ("l", 50)]).collect()
