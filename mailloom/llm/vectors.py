@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from mailloom.session import scratch_path
 
 BITS, TABLES, PROBE = 64, 4, 2
+WIDTH = 64  # values of a vector that takes part
 SAMPLE = 20_000
 BLOCK = 131_072
 QUERIES_AT_ONCE = 512
@@ -34,19 +35,25 @@ PRUNE = 22  # Hamming distance beyond which a candidate isn't reranked: cosine 0
 
 
 def learned_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and rotation that keep the signs of the rotated sample close to its values; fewer rows than bits: a random one."""
+    """Mean and BITS directions that keep the signs of the rotated sample close to its values; fewer rows than values: random ones.
+
+    Vectors of more than BITS values are rotated within their BITS principal components, those of fewer get random directions besides.
+    """
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
+    bits = min(width, BITS)
     mean = sample.mean(0) if len(sample) else np.zeros(width)
     x = sample - mean
-    turn = np.linalg.qr(rng.normal(size=(width, width)))[0]
-    if len(x) < width:
-        return mean, turn
-    for _ in range(rounds):
+    basis = np.eye(width)
+    if width > BITS and len(x):
+        basis = np.linalg.eigh(x.T @ x)[1][:, -BITS:]
+        x = x @ basis
+    turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
+    for _ in range(rounds if len(x) >= width else 0):
         signs = np.where(x @ turn >= 0, 1.0, -1.0)
         u, _, v = np.linalg.svd(x.T @ signs)
         turn = u @ v
-    return mean, turn
+    return mean, np.concatenate([basis[:, :bits] @ turn if width > BITS else turn, rng.normal(size=(width, BITS - bits))], 1)
 
 
 def balls(bits: int, radius: int) -> np.ndarray:
@@ -104,7 +111,7 @@ def best(query: np.ndarray, ids: np.ndarray, similarity: np.ndarray, k: int) ->
     return query[kept], ids[kept], similarity[kept]
 
 
-def usable(vectors: DataFrame, width: int = BITS) -> DataFrame:
+def usable(vectors: DataFrame, width: int = WIDTH) -> DataFrame:
     """(vec_id, embedding) of unit length in double precision, of the vectors that take part: not null, of the width, finite, not all zero. Repeated ids count once."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     square = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
@@ -119,22 +126,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """(query_id, vec_id, similarity): the k most similar other vectors of every usable vector, cosine, ties to the smaller id.
 
-    Vectors that are null, of another length, all zero or not finite take no part. An empty table gives no rows.
+    Vectors that are null, of another length than width, all zero or not finite take no part. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     path = scratch_path(spark, "vectors")
     # Rows in the order of a hash, so that blocks are alike; a file holds at most `block` rows.
-    usable(vectors).write.option("maxRecordsPerFile", block).option("compression", "zstd").parquet(path)
+    usable(vectors, width).write.option("maxRecordsPerFile", block).option("compression", "zstd").parquet(path)
     table = spark.read.schema("vec_id long, embedding array<double>").parquet(path)
     total = table.count()
     if not total:
         return spark.createDataFrame([], "query_id long, vec_id long, similarity double")
     share = min(1.0, SAMPLE / total)
     sample = [r[0] for r in table.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").limit(2 * SAMPLE).collect()]
-    mean, turn = learned_rotation(np.array(sample, np.float64).reshape(len(sample), -1) if sample else np.zeros((0, BITS)))
+    mean, turn = learned_rotation(np.array(sample, np.float64).reshape(len(sample), -1) if sample else np.zeros((0, width)))
     masks = balls(BITS // TABLES, PROBE)
 
     def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:

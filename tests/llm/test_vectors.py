@@ -31,6 +31,19 @@ def test_recall(spark, noise, block):
     assert hits >= 0.97 * 10 * len(ids) and all(len(v) == 10 for v in got.values())
 
 
+@pytest.mark.parametrize("width", [384, 20])
+def test_other_widths(spark, width):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, width))
+    x = (centres[rng.integers(0, 20, 300)] + 0.1 * rng.normal(size=(300, width))).astype(np.float32)
+    got = {}
+    for r in nearest(table(spark, range(300), x), width=width).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(np.arange(300), x.astype(float), 10)
+    assert sum(len(got[i] & set(w)) for i, w in want.items()) >= 0.97 * 3000
+    assert nearest(table(spark, range(300), x)).count() == 0
+
+
 def test_dirty_vectors_and_ties(spark):
     one = [1.0] + [0.0] * 63
     rows = [(5, one), (3, one), (9, one), (1, None), (2, [0.0] * 64), (4, [1.0] * 57), (6, [float("nan")] * 64), (7, [-1.0] + [0.0] * 63)]
