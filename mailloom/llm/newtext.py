@@ -85,6 +85,11 @@ START = {
 }
 START_ELSE = (-0.5, -8, -5, -6, -9)
 LONG_SIGNATURE = 10
+LOST = -1e9
+
+
+def _score(segment: tuple) -> float:
+    return segment[0]
 
 
 def classes(lines: list[str], sender: frozenset[str]) -> list[int]:
@@ -168,41 +173,65 @@ def decode(kinds: list[int]) -> list[int]:
         elif atoms[a][0] == HEADER and sum(k == HEADER for k in kinds[atoms[a][1] : atoms[a][2]]) >= 2:
             atoms[a][0] = BLOCK
     lengths = [sum(k != BLANK for k in kinds[s:e]) or 1 for _, s, e in atoms]
-    best = [[-1e9] * 5 for _ in range(n + 1)]
+    best = [[LOST] * 5 for _ in range(n + 1)]
     back: list[list[tuple[int, int]]] = [[(0, 0)] * 5 for _ in range(n + 1)]
-    best[0] = [0.0, -1e9, -1e9, -1e9, -1e9]
-    for start in range(n):
-        before = best[start]
-        first = atoms[start][0]
+    best[0] = [0.0, LOST, LOST, LOST, LOST]
+    # Open segments by kind: (score, start, origin). All scores but a signature's length are sums over lines, so of
+    # segments of one kind (and, of history, with or without an unmarked block) only the best open one can win;
+    # signatures are kept by start up to LONG_SIGNATURE lines, beyond which each further line costs the same.
+    nothing = (LOST, 0, 0)
+    new = notice = gateway = plain = blocked = long = nothing
+    short: list[tuple[float, int, int, int]] = []  # with its lines
+    for end in range(n):
+        c, lines = atoms[end][0], lengths[end]
+        weight = min(lines, 6)
+        arrivals = []
         for kind in range(5):
             # A segment never follows one of its own kind, except at the start.
-            arrive, origin = -1e9, 0
+            arrive, origin = LOST, 0
             for k in range(5):
-                if (k != kind or not start) and before[k] > arrive:
-                    step = before[k] - (2.0 if k == SIGNATURE and kind == NEW and first not in (PS, BLANK) else 0)
+                if k != kind or not end:
+                    step = best[end][k] - (2.0 if k == SIGNATURE and kind == NEW and c not in (PS, BLANK) else 0)
                     if step > arrive:
                         arrive, origin = step, k
-            if arrive < -1e8:
-                continue
-            score = arrive + START.get((kind, first), START_ELSE[kind] if start or kind != NEW else 0.0)
-            block, lines = False, 0
-            for end in range(start, n):
-                c = atoms[end][0]
-                if c == BLOCK and kind == HISTORY:
-                    block = True
-                # Within a block without marks ordinary text costs nothing, but it must run to the end.
-                score += (0 if block and kind == HISTORY else EMIT[c][kind]) * min(lengths[end], 6)
-                lines += lengths[end]
-                whole = score
-                if kind == SIGNATURE and lines > LONG_SIGNATURE:
-                    whole -= lines - LONG_SIGNATURE
-                if block and kind == HISTORY and end < n - 1:
-                    whole -= 5
-                if whole > best[end + 1][kind]:
-                    best[end + 1][kind] = whole
-                    back[end + 1][kind] = (start, origin)
-                if EMIT[c][kind] <= -9 and not block:
-                    break
+            arrivals.append((arrive + START.get((kind, c), START_ELSE[kind] if end or kind != NEW else 0.0), end, origin) if arrive > LOST / 2 else nothing)
+
+        def grown(open_: tuple, kind: int, arrivals: list = arrivals, c: int = c, weight: int = weight) -> tuple:
+            """The better of the open segment and one that starts here, with this atom."""
+            at = max(open_, arrivals[kind], key=_score)
+            emit = EMIT[c][kind]
+            return (at[0] + emit * weight, at[1], at[2])
+
+        emits = EMIT[c]
+        new, notice, gateway = grown(new, NEW), grown(notice, NOTICE), grown(gateway, GATEWAY)
+        # Within a block without marks ordinary text costs nothing, but it must run to the end.
+        starts = arrivals[HISTORY]
+        if c == BLOCK:
+            blocked, plain = max(blocked, plain, starts, key=_score), nothing
+        else:
+            plain = grown(plain, HISTORY)
+        short = [(s + emits[SIGNATURE] * weight, at, origin, held + lines) for s, at, origin, held in [*short, (*arrivals[SIGNATURE], 0)] if s > LOST / 2]
+        long = (long[0] + emits[SIGNATURE] * weight - lines, *long[1:]) if long is not nothing else long
+        over = [(s - (held - LONG_SIGNATURE), at, origin) for s, at, origin, held in short if held > LONG_SIGNATURE]
+        long = max([long, *over], key=_score)
+        short = [x for x in short if x[3] <= LONG_SIGNATURE]
+        signature = max([long, *[x[:3] for x in short]], key=_score)
+        history = max(plain, (blocked[0] - (5 if end < n - 1 else 0), *blocked[1:]), key=_score)
+        closed = (new, history, signature, notice, gateway)
+        for kind, (s, at, origin) in enumerate(closed):
+            if s > LOST / 2:
+                best[end + 1][kind], back[end + 1][kind] = s, (at, origin)
+        # What a kind can't hold ends its open segments.
+        if emits[NEW] <= -9:
+            new = nothing
+        if emits[NOTICE] <= -9:
+            notice = nothing
+        if emits[GATEWAY] <= -9:
+            gateway = nothing
+        if emits[SIGNATURE] <= -9:
+            short, long = [], nothing
+        if emits[HISTORY] <= -9:
+            plain = nothing
     out = [NEW] * len(kinds)
     at, kind = n, max(range(5), key=lambda k: best[n][k])
     while at > 0:
