@@ -4,12 +4,14 @@ Features of a document are distributions over its segments (sentences and note l
 length: word and sentence length, vocabulary grade (how demanding the labelled documents are in which a word
 occurs), syntax (function words, commas, subordinators), and cohesion (words shared by successive segments).
 The trees predict a grade; five folds by source give held-out grades, on which the four cut points between
-the bands are calibrated and the accuracy is measured. The fit uses at most SAMPLE labelled documents, in the
+the bands are calibrated; the accuracy is measured on each fold with cut points of the others. Texts of other
+languages are told by their function words and by the letter trigrams of the labelled texts. The fit uses at most SAMPLE labelled documents, in the
 order of a hash; every document is scored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ from mailloom.session import spread
 
 SAMPLE = 4_000
 LEAST_CHARS = 150
+PLENTY, MARGIN = 0.2, 0.3  # share of function words of which nothing else is asked; log units below the labelled texts' lowest spelling
 FOLDS, TREES, DEPTH, RATE, BINS, LEAF = 5, 80, 4, 0.1, 32, 8
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SEGMENT = re.compile(r"(?<=[.!?])\s+|[\r\n]+|(?<=[a-z]) and (?=[A-Z])")
@@ -169,12 +172,39 @@ def cut_points(predicted: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return np.array(cuts)
 
 
+class Letters:
+    """How English the spelling of a text is: mean log share of its words' letter trigrams among those of labelled texts."""
+
+    def __init__(self, texts: list[tuple]) -> None:
+        counts = Counter(g for parts in texts for segment in parts[0] for w in segment for g in self._grams(w))
+        total = sum(counts.values()) + len(counts) + 1
+        self.least = -math.log(total)
+        self.shares = {g: math.log((n + 1) / total) for g, n in counts.items()}
+
+    @staticmethod
+    def _grams(word: str) -> list[str]:
+        w = f" {word} "
+        return [w[i : i + 3] for i in range(len(w) - 2)]
+
+    def score(self, parts: tuple) -> float:
+        get, least = self.shares.get, self.least
+        found = [get(g, least) for segment in parts[0] for w in segment for g in self._grams(w)]
+        return sum(found) / len(found) if found else least
+
+
 @dataclass
 class Model:
     grades: dict[str, float]
     trees: Trees
     cuts: np.ndarray
     held_out: list[tuple[str, int, int]]  # source, band, predicted band
+    letters: Letters
+    spelled: float  # the score from which a text of few English function words is English
+
+    def english(self, parts: tuple) -> bool:
+        """Enough English function words, or an English spelling: other languages and scripts have neither."""
+        n = sum(map(len, parts[0]))
+        return sum(w in EN for s in parts[0] for w in s) >= PLENTY * n or self.letters.score(parts) >= self.spelled
 
     def bands(self, texts: list[tuple]) -> np.ndarray:
         x = np.array([features(t, self.grades) for t in texts], float).reshape(len(texts), len(NAMES))
@@ -196,8 +226,15 @@ def fitted(texts: list[tuple], bands: np.ndarray, sources: list[str]) -> Model:
         if inside.any():
             held[inside] = Trees().fit(x[outside], bands[outside].astype(float)).predict(x[inside]) if outside.any() else bands.mean()
     cuts = cut_points(held, bands)
-    predicted = np.digitize(held, cuts) + 1
-    return Model(word_grades(texts, bands), Trees().fit(x, bands.astype(float)), cuts, list(zip(sources, bands.tolist(), predicted.tolist())))
+    # The accuracy stated is nested: a fold's bands come from cut points of the other folds' held-out grades.
+    predicted = np.zeros(len(texts), int)
+    for k in range(FOLDS):
+        inside, outside = fold == k, fold != k
+        predicted[inside] = np.digitize(held[inside], cut_points(held[outside], bands[outside]) if outside.any() else cuts) + 1
+    spelling = [Letters([t for t, f in zip(texts, fold) if f != k]) for k in range(FOLDS)]
+    scores = [spelling[f].score(t) for t, f in zip(texts, fold)]  # of texts its letters were not counted in
+    spelled = float(np.quantile(scores, 0.001)) - MARGIN
+    return Model(word_grades(texts, bands), Trees().fit(x, bands.astype(float)), cuts, list(zip(sources, bands.tolist(), predicted.tolist())), Letters(texts), spelled)
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -217,7 +254,7 @@ def reading_bands(documents: DataFrame, model: Model | None) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [analysed(t) for t in b.column("text").to_pylist()] if shared.value else []
-            at = [i for i, p in enumerate(parts) if p]
+            at = [i for i, p in enumerate(parts) if p and shared.value.english(p)]
             bands = shared.value.bands([parts[i] for i in at]) if at else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(bands.astype(np.int64))], names=["doc_id", "band"])
 

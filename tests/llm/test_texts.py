@@ -1,6 +1,8 @@
 """Tokens, packing, personal information, new text, reading level."""
 
+import itertools
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -241,6 +243,47 @@ def test_old_lines(spark):
     assert newtext.old_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [2, 10])
+def test_decoding_finds_the_best_segments(monkeypatch, longest):
+    """Against all labellings of up to six atoms."""
+    monkeypatch.setattr(newtext, "LONG_SIGNATURE", longest)
+    kinds = [newtext.TEXT, newtext.QUOTE, newtext.BLOCK, newtext.CLOSING, newtext.NAME, newtext.LEGALS, newtext.WARN, newtext.PS, newtext.LINK]
+    rng = random.Random(6)
+
+    def score(atoms, labels):
+        total, start = 0.0, 0
+        for kind, run in itertools.groupby(labels):
+            n = len(list(run))
+            part = atoms[start : start + n]
+            if start:
+                total -= 2.0 if labels[start - 1] == newtext.SIGNATURE and kind == newtext.NEW and part[0] != newtext.PS else 0
+            total += newtext.START.get((kind, part[0]), newtext.START_ELSE[kind] if start or kind != newtext.NEW else 0.0)
+            block = False
+            for i, c in enumerate(part):
+                block |= c == newtext.BLOCK and kind == newtext.HISTORY
+                total += 0 if block else newtext.EMIT[c][kind]
+                if i < n - 1 and newtext.EMIT[c][kind] <= -9 and not block:
+                    return -1e9
+            total -= max(0, n - longest) if kind == newtext.SIGNATURE else 0
+            total -= 5 if block and start + n < len(atoms) else 0
+            start += n
+        return total
+
+    for _ in range(40):
+        atoms = [rng.choice(kinds)]
+        while len(atoms) < rng.randrange(2, 7):
+            atoms.append(rng.choice([k for k in kinds if k != atoms[-1]]))
+        best = max(score(atoms, labels) for labels in itertools.product(range(5), repeat=len(atoms)))
+        assert score(atoms, newtext.decode(list(atoms))) == pytest.approx(best)
+
+
+def test_decoding_is_linear():
+    rng = random.Random(7)
+    began = time.time()
+    newtext.decode([rng.choice([newtext.TEXT, newtext.QUOTE, newtext.NAME, newtext.LINK]) for _ in range(50_000)])
+    assert time.time() - began < 10
+
+
 # -- reading level
 
 SIMPLE, HARD = "The cat can see it . We went to the shop today . It is red and new . ", "The proposition that irrevocable jurisdictional prerequisites must be construed pursuant to consequential liabilities presupposes an epistemological equivalence . "
@@ -269,3 +312,17 @@ def test_trees_learn_a_step():
     x = rng.normal(size=(600, 5))
     y = (x[:, 2] > 0) * 2.0 + (x[:, 0] > 1)
     assert np.abs(reading.Trees().fit(x, y).predict(x) - y).mean() < 0.1
+
+
+def test_other_spellings_are_no_english():
+    rng = random.Random(3)
+    words = "please send the signed copy of contract before friday and call our office about further changes in price because board members asked for another review this week".split()
+    texts = [reading.analysed(" ".join(rng.choice(words) for _ in range(60)) + ".") for _ in range(40)]
+    model = reading.fitted(texts, np.array([1 + i % 2 for i in range(40)]), [f"s{i % 7}" for i in range(40)])
+    polish = "Rada zatwierdziła sprawozdanie roczne po długiej dyskusji nad budżetem spółki i wydatkami planowanymi na przyszły rok, prosząc odpowiedzialnych o przedstawienie do marca szczegółowego planu działań."
+    russian = "Совет утвердил годовой отчет после долгого обсуждения бюджета компании и расходов, запланированных на следующий год, попросив ответственных представить до марта подробный план действий на весь период."
+    assert all(model.english(t) for t in texts)
+    for other in (polish, russian):
+        parts = reading.analysed(other)
+        assert parts is None or not model.english(parts)
+    assert len(model.held_out) == 40
