@@ -17,7 +17,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     """Held-out accuracy by source, of folds that share no source."""
     model = trained(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"))
-    rows = spark.createDataFrame(model.held_out if model else [], "source string, band int, predicted int")
+    rows = spark.createDataFrame(model.nested if model else [], "source string, band int, predicted int")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("band") == F.col("predicted")).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.abs(F.col("band") - F.col("predicted"))), 6).alias("mean_error"))
 
 

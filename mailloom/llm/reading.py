@@ -197,7 +197,8 @@ class Model:
     grades: dict[str, float]
     trees: Trees
     cuts: np.ndarray
-    held_out: list[tuple[str, int, int]]  # source, band, predicted band
+    held_out: list[tuple[str, int, int]]  # source, band, predicted band, by the cut points of all held-out grades
+    nested: list[tuple[str, int, int]]  # by those of the other folds: what the accuracy is stated on
     letters: Letters
     spelled: float  # the score from which a text of few English function words is English
 
@@ -226,15 +227,15 @@ def fitted(texts: list[tuple], bands: np.ndarray, sources: list[str]) -> Model:
         if inside.any():
             held[inside] = Trees().fit(x[outside], bands[outside].astype(float)).predict(x[inside]) if outside.any() else bands.mean()
     cuts = cut_points(held, bands)
-    # The accuracy stated is nested: a fold's bands come from cut points of the other folds' held-out grades.
-    predicted = np.zeros(len(texts), int)
+    # For the accuracy stated a fold's bands come from cut points of the other folds' held-out grades.
+    predicted, nested = np.digitize(held, cuts) + 1, np.zeros(len(texts), int)
     for k in range(FOLDS):
         inside, outside = fold == k, fold != k
-        predicted[inside] = np.digitize(held[inside], cut_points(held[outside], bands[outside]) if outside.any() else cuts) + 1
+        nested[inside] = np.digitize(held[inside], cut_points(held[outside], bands[outside]) if outside.any() else cuts) + 1
     spelling = [Letters([t for t, f in zip(texts, fold) if f != k]) for k in range(FOLDS)]
     scores = [spelling[f].score(t) for t, f in zip(texts, fold)]  # of texts its letters were not counted in
     spelled = float(np.quantile(scores, 0.001)) - MARGIN
-    return Model(word_grades(texts, bands), Trees().fit(x, bands.astype(float)), cuts, list(zip(sources, bands.tolist(), predicted.tolist())), Letters(texts), spelled)
+    return Model(word_grades(texts, bands), Trees().fit(x, bands.astype(float)), cuts, list(zip(sources, bands.tolist(), predicted.tolist())), list(zip(sources, bands.tolist(), nested.tolist())), Letters(texts), spelled)
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
