@@ -228,6 +228,10 @@ def replaced(text: str | None, spans: list[tuple[str, int, int]], by: object) ->
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+|\d+")
+_AT = re.compile(rf"({GAP}?[(\[{{]{GAP}?at{GAP}?[)\]}}]{GAP}?|{GAP}at{GAP}|@)", re.I)
+_DOT = re.compile(rf"({GAP}?[(\[{{]{GAP}?dot{GAP}?[)\]}}]{GAP}?|{GAP}dot{GAP}|\.)", re.I)
+_COUNTRY = re.compile(r"\+\d{1,3}(?=\D)")
 _TYPES = frozenset(STREET_TYPES.lower().split("|"))
 _FUSED = re.compile(r"(?<=..)(?:weg|straße|strasse|str|platz|allee|gasse)$", re.I)
 _UNIT = re.compile(rf"(?:Suite|Ste|Apt|Apartment|Unit|Room|Floor|SUITE|APT|UNIT)\b\.?{GAP}+[\dA-Z]+\b")
@@ -266,6 +270,8 @@ class Surrogates:
     ROUNDS = 4  # each way
 
     def __init__(self, key: bytes) -> None:
+        if not key:
+            raise ValueError("surrogates need a secret key")
         self.key = key
         self.short = hashlib.blake2b(key).digest()
         self.words: dict[str, str] = {}
@@ -338,13 +344,31 @@ class Surrogates:
             out.append(word)
         return "".join([*out, mention[at:]])
 
+    def email(self, mention: str) -> str:
+        """Words by the mapping that names have, so that a person's name and address still belong together, and numbers; the ends of the domain stay."""
+        parts = _AT.split(mention, maxsplit=1)
+        local, joint, domain = parts if len(parts) == 3 else (mention, "", "")
+        labels = _DOT.split(domain)  # labels and what is between them, by turns
+        last = len(labels) - 1
+        keep = {last, last - 2} if last >= 4 and len(labels[last - 2]) <= 3 else {last}  # "org", "co.uk"
+        done = [x if k % 2 or k in keep else self.mixed(x) for k, x in enumerate(labels)]
+        return self.mixed(local) + joint + "".join(done)
+
+    def mixed(self, text: str) -> str:
+        """Runs of letters as words, runs of digits as digits of one kind; the rest stays."""
+        return _RUNS.sub(lambda m: self.word(m[0]) if m[0][0].isalpha() else self.digits(m[0], "mixed") if len(m[0]) > 1 else self.word(m[0]), text)
+
     def __call__(self, kind: str, mention: str) -> str:
-        if kind in ("phone", "id_number"):
+        if kind == "phone":
+            country = _COUNTRY.match(mention)
+            at = country.end() if country else 0
+            new = iter(self.digits("".join(filter(str.isdigit, mention[at:])), kind))
+            return mention[:at] + "".join(next(new) if c.isdigit() else c for c in mention[at:])
+        if kind == "id_number":
             new = iter(self.digits("".join(filter(str.isdigit, mention)), kind))
-            return "".join(next(new) if c.isdigit() else c for c in mention)
+            return "".join(next(new) if c.isdigit() else c for c in _LETTERS.sub(lambda m: self.word(m[0]), mention))
         if kind == "email":
-            m = re.match(r"[^\s@(\[{]+", mention)
-            return self.word(m[0]).lower() + mention[m.end() :] if m else mention
+            return self.email(mention)
         if kind == "address":
             return self.address(mention)
         return "".join(self.word(part) if len(part) > 1 and part.isalpha() else part for part in re.split(r"([^\W\d_]{2,})", mention))
@@ -353,11 +377,11 @@ class Surrogates:
 HEADER = re.compile(r"^\s*([^\W\d_][\w'’-]+),\s*([^\W\d_][\w'’-]+)\s*$|^\s*([^\W\d_][\w'’-]+)\s+(?:[A-Z]\.?\s+)*([^\W\d_][\w'’-]+)\s*$")
 
 
-def collected_people(emails: DataFrame, mailboxes: DataFrame) -> str:
+def collected_people(emails: DataFrame, mailboxes: DataFrame, most: int = 3_000_000) -> str:
     """Path of the name dictionary: (part, word) from x_from, x_to, x_cc and owner_name, written once to the shared folder.
 
     A given name counts if it stands beside at least two surnames, or in a mailbox, and a surname beside such a given
-    name; the parts of a name are told from its form ("Surname, Given" or "Given Surname"). Its size is the number of different names, not of rows.
+    name; the parts of a name are told from its form ("Surname, Given" or "Given Surname"). Its size is the number of different names, not of rows; it is counted before any worker loads it.
     """
     spark = emails.sparkSession
     listed = emails.select(F.explode(F.split(F.concat_ws(";", "x_from", "x_to", "x_cc"), ";")).alias("n")).filter("n not like '%@%' and n <> ''").groupBy(F.trim("n").alias("n")).agg(F.count("*").alias("c"), F.lit(False).alias("owner"))
@@ -378,7 +402,10 @@ def collected_people(emails: DataFrame, mailboxes: DataFrame) -> str:
     kept = pairs.join(F.broadcast(given) if given.count() <= 100_000 else given, "given", "left_semi")
     words = kept.select(F.explode(F.array(F.struct(F.lit("given").alias("part"), F.col("given").alias("word")), F.struct(F.lit("surname").alias("part"), F.col("surname").alias("word")))).alias("p"), "c")
     votes = words.groupBy("p.part", "p.word").agg(F.sum("c").alias("c"))
-    votes.groupBy("word").agg(F.max_by("part", "c").alias("part")).filter("length(word) > 1").select("part", "word").coalesce(1).write.json(path)
+    named = written(votes.groupBy("word").agg(F.max_by("part", F.struct("c", "part")).alias("part")).filter("length(word) > 1").select("part", "word"), "people")
+    if (n := named.count()) > most:
+        raise ValueError(f"{n} names are more than the {most} that every worker may load; raise `most` where workers have the memory (about 100 bytes a name)")
+    named.write.json(path)
     return path
 
 
@@ -412,10 +439,12 @@ def mentions(emails: DataFrame, people: str, fields: tuple[str, ...] = ("body",
 
 
 def rewritten(emails: DataFrame, people: str, key: bytes | None = None, fields: tuple[str, ...] = ("body", "subject")) -> DataFrame:
-    """(id, fields): the texts with typed placeholders such as [NAME], or with surrogates of the key. Null texts stay null."""
+    """(id, fields): the texts with typed placeholders such as [NAME], or with surrogates of the key (None: placeholders; an empty one is refused). Null texts stay null."""
+    if key is not None:
+        Surrogates(key)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = loaded_people(people)
-        by = Surrogates(key) if key else lambda kind, _: f"[{kind.upper()}]"
+        by = Surrogates(key) if key is not None else lambda kind, _: f"[{kind.upper()}]"
         for b in batches:
             texts = [pa.array([replaced(t, detect(t, known), by) for t in b.column(f).to_pylist()], pa.string()) for f in fields]
             yield pa.RecordBatch.from_arrays([b.column("id"), *texts], names=["id", *fields])

@@ -162,7 +162,13 @@ def test_surrogates_keep_form_and_distinctness():
     assert len(set(new)) == 500 and all(len(n) == 8 and n[3] == "-" for n in new)
     assert by("name", "Ximena Kovova") == personal.Surrogates(b"key")("name", "Ximena Kovova") != personal.Surrogates(b"other")("name", "Ximena Kovova")
     assert by("name", "XIMENA").isupper() and by("name", "Kovova, Ximena").split(", ")[0] == by("name", "Ximena Kovova").split()[1]
-    assert by("email", "ann@x.test").endswith("@x.test")
+    assert re.fullmatch(r"[a-z]{3}@[a-z]{5}\.co\.uk", by("email", "ann@smith.co.uk")) and by("email", "ann@smith.org").endswith(".org")
+    name, mail = by("name", "Ximena Kovova").lower().split(), by("email", "ximena.kovova2 (at) kovova dot org")
+    assert mail.startswith(f"{name[0]}.{name[1]}") and mail.endswith(f" (at) {name[1]} dot org") and mail[len(name[0]) + len(name[1]) + 1] != "2"
+    assert by("phone", "+44 20 7946 0602").startswith("+44 ") and by("phone", "+1 713 555 0181").startswith("+1 ")
+    assert re.fullmatch(r"[A-Z]{2} \d\d \d\d \d\d [A-Z]", by("id_number", "QQ 12 34 56 C")) and by("id_number", "QQ 12 34 56 C")[:2] != "QQ"
+    with pytest.raises(ValueError):
+        personal.Surrogates(b"")
     assert personal.replaced("a Ximena b", [("name", 2, 8)], lambda k, _: f"[{k}]") == "a [name] b" and personal.replaced(None, [], by) is None
 
 
@@ -325,4 +331,4 @@ def test_other_spellings_are_no_english():
     for other in (polish, russian):
         parts = reading.analysed(other)
         assert parts is None or not model.english(parts)
-    assert len(model.held_out) == 40
+    assert len(model.held_out) == len(model.nested) == 40
