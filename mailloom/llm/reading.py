@@ -175,21 +175,39 @@ def cut_points(predicted: np.ndarray, bands: np.ndarray) -> np.ndarray:
 class Letters:
     """How English the spelling of a text is: mean log share of its words' letter trigrams among those of labelled texts."""
 
-    def __init__(self, texts: list[tuple]) -> None:
-        counts = Counter(g for parts in texts for segment in parts[0] for w in segment for g in self._grams(w))
+    def __init__(self, words: Counter) -> None:
+        counts: Counter = Counter()
+        for w, n in words.items():
+            for g in self._grams(w):
+                counts[g] += n
         total = sum(counts.values()) + len(counts) + 1
         self.least = -math.log(total)
         self.shares = {g: math.log((n + 1) / total) for g, n in counts.items()}
+        self._known: dict[str, float] = {}
 
     @staticmethod
     def _grams(word: str) -> list[str]:
         w = f" {word} "
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
+    def _sum(self, word: str) -> float:
+        if word not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[word] = sum(self.shares.get(g, self.least) for g in self._grams(word))
+        return self._known[word]
+
     def score(self, parts: tuple) -> float:
-        get, least = self.shares.get, self.least
-        found = [get(g, least) for segment in parts[0] for w in segment for g in self._grams(w)]
-        return sum(found) / len(found) if found else least
+        words = [w for segment in parts[0] for w in segment]
+        return sum(map(self._sum, words)) / sum(map(len, words)) if words else self.least
+
+
+def word_counts(texts: list[tuple]) -> Counter:
+    counts: Counter = Counter()
+    for parts in texts:
+        for segment in parts[0]:
+            counts.update(segment)
+    return counts
 
 
 @dataclass
@@ -232,10 +250,12 @@ def fitted(texts: list[tuple], bands: np.ndarray, sources: list[str]) -> Model:
     for k in range(FOLDS):
         inside, outside = fold == k, fold != k
         nested[inside] = np.digitize(held[inside], cut_points(held[outside], bands[outside]) if outside.any() else cuts) + 1
-    spelling = [Letters([t for t, f in zip(texts, fold) if f != k]) for k in range(FOLDS)]
+    counts = [word_counts([t for t, f in zip(texts, fold) if f == k]) for k in range(FOLDS)]
+    every = sum(counts, Counter())
+    spelling = [Letters(every - counts[k]) for k in range(FOLDS)]
     scores = [spelling[f].score(t) for t, f in zip(texts, fold)]  # of texts its letters were not counted in
     spelled = float(np.quantile(scores, 0.001)) - MARGIN
-    return Model(word_grades(texts, bands), Trees().fit(x, bands.astype(float)), cuts, list(zip(sources, bands.tolist(), predicted.tolist())), list(zip(sources, bands.tolist(), nested.tolist())), Letters(texts), spelled)
+    return Model(word_grades(texts, bands), Trees().fit(x, bands.astype(float)), cuts, list(zip(sources, bands.tolist(), predicted.tolist())), list(zip(sources, bands.tolist(), nested.tolist())), Letters(every), spelled)
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
