@@ -15,9 +15,9 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.session import scratch_path, written
+from mailloom.session import scratch_path, spread, written
 
-BLOCK, TILE = 65_536, 1_024
+BLOCK, TILE = 65_536, 256  # a tile of similarities: 128 MB
 
 
 def normalised(embedding: Column) -> Column:
@@ -58,40 +58,60 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool = F
     w = width[0][0]
     usable.filter(F.col("w") == w).select("id", "embedding").write.option("maxRecordsPerFile", block).parquet(path)
 
-    def tiles() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fs, root = pafs.FileSystem.from_uri(path)
-        for f in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda f: f.path):
-            if f.path.endswith(".parquet"):
-                t = pq.read_table(f.path, filesystem=fs).combine_chunks()
-                if len(t):
-                    yield t["id"].to_numpy(), _matrix(t["embedding"].chunk(0))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column("id").to_numpy(), _matrix(b.column("embedding"))) for b in batches if b.num_rows]
         if not held:
             return
         ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        n = np.zeros((len(ids), 0), np.int64)
-        s = np.zeros((len(ids), 0))
-        for ref_ids, ref in tiles():
+        best = Best(len(ids), k)
+        for ref_ids, ref in tiles(path):
             for at in range(0, len(ids), TILE):
-                span = slice(at, at + TILE)
-                if not at:
-                    n2, s2 = [], []
-                sim = x[span] @ ref.T
+                sim = x[at : at + TILE] @ ref.T
                 if exclude_self:
-                    sim[ids[span][:, None] == ref_ids[None, :]] = -np.inf
-                both_s = np.concatenate([s[span], sim], 1)
-                both_n = np.concatenate([n[span], np.broadcast_to(ref_ids, sim.shape)], 1)
-                order = np.lexsort((both_n, -np.round(both_s, 12)), axis=1)[:, :k]
-                n2.append(np.take_along_axis(both_n, order, 1)), s2.append(np.take_along_axis(both_s, order, 1))
-            n, s = np.concatenate(n2), np.concatenate(s2)
-        for at in range(0, len(ids), TILE):
-            q, r = np.nonzero(s[at : at + TILE] > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), pa.array(r.astype(np.int32)), pa.array(n[at + q, r]), pa.array(s[at + q, r])], names=["query_id", "rank", "neighbour_id", "similarity"])
+                    sim[ids[at : at + TILE][:, None] == ref_ids[None, :]] = -np.inf
+                best.take(at, sim, ref_ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.ranks()), pa.array(best.ids), pa.array(best.similarity)], names=["query_id", "rank", "neighbour_id", "similarity"])
 
     asked = queries.filter(F.col("id").isNotNull() & (F.size("embedding") == w)).select("id", normalised(F.col("embedding")).alias("embedding"))
-    return asked.mapInArrow(scan, "query_id long, rank int, neighbour_id long, similarity double")
+    return spread(asked).mapInArrow(scan, "query_id long, rank int, neighbour_id long, similarity double")
+
+
+def tiles(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The written rows (id, embedding), a file at a time."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            t = pq.read_table(f.path, filesystem=fs, columns=["id", "embedding"]).combine_chunks()
+            if len(t):
+                yield t["id"].to_numpy(), _matrix(t["embedding"].chunk(0))
+
+
+class Best:
+    """The k most similar of each query so far, by similarity (to 12 digits), ties to the smaller id; flat arrays in that order."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.query, self.ids, self.similarity = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.edge = np.full(queries, -np.inf)  # what a query's k-th has
+
+    def take(self, at: int, sim: np.ndarray, ids: np.ndarray) -> None:
+        """Similarities of the queries from `at` on to all ids. Only entries that reach the k-th found, here or before, are sorted."""
+        edge = self.edge[at : at + len(sim)]
+        if sim.shape[1] > self.k:
+            edge = np.maximum(edge, np.partition(sim, sim.shape[1] - self.k, axis=1)[:, sim.shape[1] - self.k])
+        q, r = np.nonzero((sim >= edge[:, None] - 1e-11) & (sim > -np.inf))
+        query = np.concatenate([self.query, q + at])
+        found, similarity = np.concatenate([self.ids, ids[r]]), np.concatenate([self.similarity, sim[q, r]])
+        order = np.lexsort((found, -np.round(similarity, 12), query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.query, self.ids, self.similarity = query[kept], found[order][kept], similarity[order][kept]
+        last = place[kept] == self.k - 1
+        self.edge[self.query[last]] = self.similarity[last]
+
+    def ranks(self) -> np.ndarray:
+        return (np.arange(len(self.query)) - np.searchsorted(self.query, self.query)).astype(np.int32)
 
 
 def similarity_features(neighbours: DataFrame, labels: DataFrame, zero_fill: bool = False) -> DataFrame:
@@ -129,14 +149,41 @@ def out_of_sample_features(queries: DataFrame, vectors: DataFrame, labels: DataF
 def max_similarity(texts: DataFrame, terms: DataFrame, group: str = "lexicon") -> DataFrame:
     """(id, group, similarity): largest cosine of each (id, embedding) row with the (group, id, embedding) terms of each group.
 
-    Each group is a small table of prototypes; the result is joined by key, never by position.
+    All groups are read in one pass over the texts; the result is joined by key, never by position. Null and wrong-length vectors take no part.
     """
-    groups = [r[0] for r in terms.select(group).distinct().orderBy(group).collect()]  # names of lexicons
-    parts = [knn(texts, terms.filter(F.col(group) == g), 1).select(F.col("query_id").alias("id"), F.lit(g).alias(group), "similarity") for g in groups]
-    out = parts[0] if parts else texts.select("id", F.lit("").alias(group), F.lit(0.0).alias("similarity")).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = texts.sparkSession
+    names = [r[0] for r in terms.select(group).distinct().orderBy(group).collect()]  # lexicons
+    path = scratch_path(spark, "terms")
+    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])[F.col(group)] if names else F.lit(0)
+    kept = terms.filter(F.col("embedding").isNotNull() & F.col(group).isNotNull())
+    width = kept.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    w = width[0][0] if width else 0
+    kept.filter(F.size("embedding") == w).select(number.cast("long").alias("id"), normalised(F.col("embedding")).alias("embedding")).write.option("maxRecordsPerFile", BLOCK).parquet(path)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("id").to_numpy(), _matrix(b.column("embedding"))) for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        best = np.full((len(ids), len(names)), -np.inf)
+        for numbers, ref in tiles(path):
+            order = np.argsort(numbers, kind="stable")
+            here, starts = np.unique(numbers[order], return_index=True)
+            for at in range(0, len(ids), TILE):
+                top = np.maximum.reduceat(x[at : at + TILE] @ ref[order].T, starts, axis=1)
+                best[at : at + TILE, here] = np.maximum(best[at : at + TILE, here], top)
+        for at in range(0, len(ids), TILE):
+            q, g = np.nonzero(best[at : at + TILE] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), pa.array([names[i] for i in g.tolist()], pa.string()), pa.array(best[at + q, g])], names=["id", group, "similarity"])
+
+    asked = texts.filter(F.col("id").isNotNull() & (F.size("embedding") == w)).select("id", normalised(F.col("embedding")).alias("embedding"))
+    return spread(asked).mapInArrow(scan, f"id long, {group} string, similarity double")
+
+
+def semantic_scores(texts: DataFrame, terms: DataFrame, group: str = "lexicon") -> DataFrame:
+    """(id, semantic): a map of each lexicon's largest similarity, as the semantic labelling functions read it; one entry per lexicon."""
+    rows = max_similarity(texts, terms, group)
+    return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(group, "similarity"))).alias("semantic"))
 
 
 def near_duplicates_removed(mail: DataFrame, vectors: DataFrame, keys: list[str], threshold: float = 0.95) -> DataFrame:

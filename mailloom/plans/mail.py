@@ -9,7 +9,7 @@ from mailloom.config import EngineConfig
 from mailloom.functions import text as X
 from mailloom.operators import analytics as A
 from mailloom.operators import mail as M
-from mailloom.operators.knn import normalised
+from mailloom.operators.knn import normalised, semantic_scores
 from mailloom.operators.lexicon import STOP_WORDS, coverage, frequent_phrases, phrase_counts, seed_lexicon
 from mailloom.operators.ordered import keep_first
 from mailloom.operators.splits import stratified_folds, thread_split
@@ -59,8 +59,7 @@ QUERIES = {
     "folder_duplicate_pivot": lambda s, d: A.pivot_counts(A.multi_folder(keyed(s, d), KEYS), X.last_segment(F.col("x_folder")), "folder", {"single": ~F.col("in_folders"), "repeated": F.col("in_folders")}),
     "volume_by_year": lambda s, d: A.counts_by(view(s, d), year=F.year("date"), unusual=F.year("date").isin(1980, 1997)),
     "volume_by_hour_pivot": lambda s, d: A.pivot_counts(view(s, d).filter("date is not null"), F.hour("date"), "hour", {"weekdays": F.weekday("date") < 5, "weekend": F.weekday("date") > 4}),
-    "dense_hours": lambda s, d: A.dense(A.counts_by(read_table(s, d, "events").filter(F.minute("ts") == 0), hour=F.hour("ts")), "hour", 24, "n"),
-    "dense_hours_whole": lambda s, d: A.dense(A.counts_by(read_table(s, d, "events").filter("ts is not null"), hour=F.hour("ts")), "hour", 24, "n"),
+    "dense_hours": lambda s, d: A.dense(A.counts_by(read_table(s, d, "events").filter("ts is not null"), hour=F.hour("ts")), "hour", 24, "n"),
     "domain_activity_topk": lambda s, d: A.activity(threads(s, d), "sender_domain", 15),
     "sender_activity": lambda s, d: A.activity(threads(s, d), "sender"),
     "two_ended_topk": lambda s, d: A.two_ends(A.activity(threads(s, d), "sender").filter("sender is not null"), "total_volume", "sender", 15),
@@ -72,11 +71,11 @@ QUERIES = {
     "phrase_counts": lambda s, d: phrase_counts(view(s, d), "body", ["please", "heads up", "by end of day", "invoice"]),
     "lexicon_coverage": lambda s, d: coverage(view(s, d), seed_lexicon(s)),
     "lexicon_votes": lambda s, d: _votes(s, d).select("_ordinal", F.array_join("votes", ",").alias("votes")),
+    "lexicon_votes_semantic": lambda s, d: _semantic_votes_of(s, d).select("_ordinal", F.array_join("votes", ",").alias("votes")),
     "vote_patterns": lambda s, d: vote_patterns(_votes(s, d)).select(F.array_join("votes", ",").alias("votes"), "n"),
     "vote_summary": lambda s, d: vote_summary(_votes(s, d), list(labelling_functions(seed_lexicon(s)))),
     "vote_coverage": lambda s, d: covered_summary(_votes(s, d)),
-    "frequent_phrases": lambda s, d: frequent_phrases(view(s, d), "body", [], 3, 3, 10, 0.8, 200, 0.01),
-    "frequent_phrases_whole": lambda s, d: frequent_phrases(view(s, d), "body", STOP_WORDS),
+    "frequent_phrases": lambda s, d: frequent_phrases(view(s, d), "body", STOP_WORDS),
     "thread_split": lambda s, d: thread_split(threads(s, d)).select("_ordinal", "thread_id", "split"),
     "stratified_folds": lambda s, d: stratified_folds(_labelled(s, d), "label", "_ordinal").select("_ordinal", "label", "fold"),
     "union_all": lambda s, d: read_table(s, d, "emails").select("id", "subject").unionByName(read_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("subject"))),
@@ -99,6 +98,20 @@ def _votes(s: SparkSession, d: str) -> DataFrame:
     return voted(view(s, d), labelling_functions(seed_lexicon(s)))
 
 
+def with_semantic(s: SparkSession, d: str) -> DataFrame:
+    """Mails with a map of similarities by lexicon: pairs of neighbouring ids share a vector of the embeddings table, and every ninth of these stands for a term of a lexicon."""
+    v = read_table(s, d, "embeddings")
+    names = F.array(*map(F.lit, LEXICON_NAMES))
+    terms = v.filter("vec_id % 9 = 0").select(F.get(names, (F.col("vec_id") % len(LEXICON_NAMES)).cast("int")).alias("lexicon"), "embedding")
+    scores = semantic_scores(v.select(F.col("vec_id").alias("id"), "embedding"), terms).withColumnRenamed("id", "_vec")
+    n = max(1, v.count())
+    return view(s, d).withColumn("_vec", F.floor(F.col("_ordinal") / 2 % n).cast("long")).join(scores, "_vec", "left")
+
+
+def _semantic_votes_of(s: SparkSession, d: str) -> DataFrame:
+    return voted(with_semantic(s, d), labelling_functions(seed_lexicon(s), 0.6, "semantic"))
+
+
 # -- SQL ------------------------------------------------------------------------------------------
 
 WS = r"[\t-\r\x{85}\p{Z}]"
@@ -191,6 +204,22 @@ def _vote_columns() -> list[str]:
     return out
 
 
+LEXICON_NAMES = list(_lexicon())
+# Of every mail (x) and lexicon the largest cosine with the lexicon's vectors, as a vote.
+SEMANTIC_SQL = f"""{VIEW}, e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings), t AS (SELECT *, {LEXICON_NAMES}[vec_id % {len(LEXICON_NAMES)} + 1] AS lexicon FROM e WHERE vec_id % 9 = 0),
+  c AS (SELECT e.vec_id, lexicon, max(array_cosine_similarity(e.x, t.x)) AS sim FROM e, t GROUP BY ALL),
+  w AS (SELECT vec_id, map_from_entries(list((lexicon, sim))) AS s FROM c GROUP BY 1)"""
+
+
+def _semantic_votes() -> str:
+    from mailloom.operators.weak import VOTES
+
+    columns = _vote_columns()
+    for i, name in enumerate(LEXICON_NAMES):
+        columns[3 * i + 2] = f"CASE WHEN coalesce(s['{name}'], 0) >= 0.6 THEN {VOTES.get(name, 1)} ELSE -1 END"
+    return f"{SEMANTIC_SQL} SELECT _ordinal, array_to_string([{', '.join(columns)}], ',') AS votes FROM m LEFT JOIN w ON w.vec_id = m._ordinal // 2 % (SELECT count(*) FROM embeddings)"
+
+
 VOTES_SQL = f"{VIEW}, v AS (SELECT _ordinal, [{', '.join(_vote_columns())}] AS votes FROM m)"
 _NAMES = [f"lf_{n}_{k}" for n in _lexicon() for k in ("seed", "generated", "semantic")]
 ORACLE = {
@@ -218,8 +247,7 @@ ORACLE = {
     "folder_duplicate_pivot": rf"{KEYED} SELECT string_split(x_folder, '\')[-1] AS folder, count(*) FILTER (NOT in_folders) AS single, count(*) FILTER (in_folders) AS repeated FROM c GROUP BY 1",
     "volume_by_year": f"{VIEW} SELECT year(date)::INT AS year, year(date) IN (1980, 1997) AS unusual, count(*) AS n FROM m GROUP BY ALL",
     "volume_by_hour_pivot": f"{VIEW} SELECT hour(date)::INT AS hour, count(*) FILTER (isodow(date) < 6) AS weekdays, count(*) FILTER (isodow(date) > 5) AS weekend FROM m WHERE date IS NOT NULL GROUP BY 1",
-    "dense_hours": "SELECT r.range::INT AS hour, count(ts) AS n FROM range(24) r LEFT JOIN (SELECT ts FROM events WHERE minute(ts) = 0) e ON hour(ts) = r.range GROUP BY 1",
-    "dense_hours_whole": "SELECT r.range::INT AS hour, count(ts) AS n FROM range(24) r LEFT JOIN events ON hour(ts) = r.range GROUP BY 1",
+    "dense_hours": "SELECT r.range::INT AS hour, count(ts) AS n FROM range(24) r LEFT JOIN events ON hour(ts) = r.range GROUP BY 1",
     "domain_activity_topk": f"{_activity('sender_domain')} SELECT * FROM a ORDER BY total_volume DESC, sender_domain NULLS FIRST LIMIT 15",
     "sender_activity": f"{_activity('sender')} SELECT * FROM a",
     "two_ended_topk": f"{_activity('sender')} (SELECT * FROM a WHERE sender IS NOT NULL ORDER BY total_volume DESC, sender LIMIT 15) UNION (SELECT * FROM a WHERE sender IS NOT NULL ORDER BY total_volume, sender LIMIT 15)",
@@ -231,13 +259,16 @@ ORACLE = {
     "phrase_counts": " UNION ALL ".join(f"SELECT '{p}' AS phrase, count(*) FILTER ({_match([p], 'body')}) AS n FROM emails" for p in ("please", "heads up", "by end of day", "invoice")),
     "lexicon_coverage": " UNION ALL ".join(f"SELECT '{n}' AS lexicon, s AS seed_rate, a AS all_rate, a - s AS gain FROM (SELECT avg({_match(w.get('seed', []))}::INT) AS s, avg({_match([x for k in w.values() for x in k])}::INT) AS a FROM emails)" for n, w in _lexicon().items()),
     "lexicon_votes": f"{VOTES_SQL} SELECT _ordinal, array_to_string(votes, ',') AS votes FROM v",
+    "lexicon_votes_semantic": _semantic_votes(),
     "vote_patterns": f"{VOTES_SQL} SELECT array_to_string(votes, ',') AS votes, count(*) AS n FROM v GROUP BY 1",
     "vote_summary": f"{VOTES_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS lf, avg((votes[{i}] <> -1)::INT) AS coverage, avg((votes[{i}] = 1)::INT) AS urgent_rate, avg((votes[{i}] = 0)::INT) AS calm_rate FROM v" for i, n in enumerate(_NAMES, 1)),
     "vote_coverage": f"{VOTES_SQL} SELECT count(*) AS n, count(*) FILTER (len(list_filter(votes, lambda x: x <> -1)) > 0) AS covered, count(*) FILTER (len(list_filter(votes, lambda x: x <> -1)) > 0) / count(*) AS ratio FROM v",
-    "frequent_phrases": r"""WITH t AS (SELECT id, regexp_extract_all(lower(concat(left(coalesce(body, ''), 1000), ' ', right(coalesce(body, ''), 1000))), '[\p{L}\p{N}_]{2,}') AS w FROM emails),
-      g AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS ngram FROM t),
-      p AS (SELECT ngram, count(*) AS n, count(DISTINCT id) AS d FROM g GROUP BY 1 HAVING d >= 10 AND d <= 0.8 * (SELECT count(*) FROM emails) ORDER BY n DESC, ngram LIMIT 200)
+    "frequent_phrases": rf"""WITH t AS (SELECT id, list_filter(regexp_extract_all(lower(concat(left(coalesce(body, ''), 1000), ' ', right(coalesce(body, ''), 1000))), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ('{"', '".join(STOP_WORDS)}')) AS w FROM emails),
+      g AS (SELECT id, unnest(flatten(list_transform(range(3, 7), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))))) AS ngram FROM t),
+      p AS (SELECT ngram, count(*) AS n, count(DISTINCT id) AS d FROM g GROUP BY 1 HAVING d >= 10 AND d <= 0.8 * (SELECT count(*) FROM emails) ORDER BY n DESC, ngram LIMIT 50000)
       SELECT ngram, n / (SELECT count(*) FROM emails) AS rate FROM p WHERE rate > 0.01""",
+    "thread_split": f"{THREADS}, g AS (SELECT thread_id, row_number() OVER (ORDER BY sha256(thread_id || ':42'), thread_id) - 1 AS n, count(*) OVER () AS total FROM (SELECT DISTINCT thread_id FROM t)) SELECT _ordinal, thread_id, CASE WHEN n < ceil(total * 0.2 - 1e-9) THEN 'test' ELSE 'train' END AS split FROM t JOIN g USING (thread_id)",
+    "stratified_folds": f"{LABELLED} SELECT _ordinal, label, ((row_number() OVER (PARTITION BY label ORDER BY sha256(_ordinal::VARCHAR || ':42'), _ordinal) - 1) % 4)::INT AS fold FROM l",
     "union_all": "SELECT id, subject FROM emails UNION ALL SELECT doc_id, NULL FROM documents",
     "duplicate_flag_join": f"{KEYED}, r AS (SELECT _ordinal, {FIRST} FROM k) SELECT _ordinal, CASE WHEN n = 1 THEN 0 ELSE 1 END AS duplicate FROM r",
     "semi_join_threads": f"{THREADS} SELECT _ordinal FROM t WHERE thread_id IN (SELECT thread_id FROM t WHERE is_reply)",

@@ -58,35 +58,35 @@ def _snapshot(s: SparkSession, d: str) -> DataFrame:
     return M.snapshot(current, baseline, SMALL)
 
 
-def _mail_vectors_by_mail(s: SparkSession, d: str, n: int | None = 500) -> DataFrame:
-    """A vector for each e-mail: pairs of neighbouring ids share one of the first n of the embeddings table, of all without n."""
-    n = n or max(1, read_table(s, d, "embeddings").count())
+def _mail_vectors_by_mail(s: SparkSession, d: str) -> DataFrame:
+    """A vector for each e-mail: pairs of neighbouring ids share one of the embeddings table."""
+    n = max(1, read_table(s, d, "embeddings").count())
     return read_table(s, d, "emails").select(F.col("id"), F.floor(F.col("id") / 2 % n).cast("long").alias("vec_id")).join(read_table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
 
 
-def _near_removed(s: SparkSession, d: str, n: int | None = 500) -> DataFrame:
+def _near_removed(s: SparkSession, d: str) -> DataFrame:
     mail = keyed(s, d)
-    return K.near_duplicates_removed(mail, _mail_vectors_by_mail(s, d, n), KEYS).select("_ordinal")
+    return K.near_duplicates_removed(mail, _mail_vectors_by_mail(s, d), KEYS).select("_ordinal")
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
     v = read_table(s, d, "embeddings")
-    return v.select(F.col("vec_id"), (F.col("label") < 5).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"lora_{i}") for i in range(8)])
+    return v.select(F.col("vec_id"), (F.col("label") < 5).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"lora_{i}") for i in range(64)])
 
 
 def _logistic(s: SparkSession, d: str) -> DataFrame:
-    f = [f"lora_{i}" for i in range(8)]
+    f = [f"lora_{i}" for i in range(64)]
     rows = _features(s, d)
     return C.scored(rows, C.fitted(rows, f), f).select("vec_id", "label", F.round("proba", 4).alias("proba"))
 
 
 def _out_of_fold(s: SparkSession, d: str) -> DataFrame:
-    f = [f"lora_{i}" for i in range(8)]
+    f = [f"lora_{i}" for i in range(64)]
     return C.out_of_fold(_features(s, d), f, "vec_id").select("vec_id", "fold", F.round("cv_proba", 4).alias("cv_proba"))
 
 
 def _importance(s: SparkSession, d: str) -> DataFrame:
-    f = [f"lora_{i}" for i in range(8)]
+    f = [f"lora_{i}" for i in range(64)]
     return C.group_importance(C.importance(C.fitted(_features(s, d), f), f))
 
 
@@ -149,10 +149,8 @@ QUERIES = {
     "knn_topk": lambda s, d: K.knn(vectors(s, d), vectors(s, d), 10, exclude_self=True).select("query_id", "rank", "neighbour_id", F.round("similarity", 6).alias("similarity")),
     "similarity_features": lambda s, d: rounded(K.in_sample_features(vectors(s, d), labels(s, d)), "id"),
     "similarity_features_new": lambda s, d: rounded(K.out_of_sample_features(vectors(s, d).filter("id % 5 = 0"), vectors(s, d).filter("id % 5 <> 0"), labels(s, d)), "id"),
-    "semantic_max": lambda s, d: rounded(K.max_similarity(vectors(s, d), read_table(s, d, "embeddings").filter("vec_id < 20").select(F.concat(F.lit("t"), F.col("vec_id") % 3).alias("lexicon"), F.col("vec_id").alias("id"), "embedding")), "id", "lexicon"),
-    "semantic_max_whole": lambda s, d: rounded(K.max_similarity(vectors(s, d), read_table(s, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id") % 3).alias("lexicon"), F.col("vec_id").alias("id"), "embedding")), "id", "lexicon"),
+    "semantic_max": lambda s, d: rounded(K.max_similarity(vectors(s, d), read_table(s, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id") % 3).alias("lexicon"), F.col("vec_id").alias("id"), "embedding")), "id", "lexicon"),
     "near_dup_removed": _near_removed,
-    "near_dup_removed_whole": lambda s, d: _near_removed(s, d, None),
     "weak_posterior": _posterior,
     "label_model": _label_model,
     "logistic_scores": _logistic,
@@ -203,10 +201,10 @@ def _votes_sql() -> str:
     return VOTES_SQL
 
 
-def _near_sql(n: str = "500") -> str:
+def _near_sql() -> str:
     from mailloom.plans.mail import KEYED
 
-    return f"""{KEYED}, x AS (SELECT c._ordinal, e.embedding::DOUBLE[64] AS v FROM c JOIN embeddings e ON e.vec_id = (c._ordinal // 2) % {n} WHERE in_folders),
+    return f"""{KEYED}, x AS (SELECT c._ordinal, e.embedding::DOUBLE[64] AS v FROM c JOIN embeddings e ON e.vec_id = (c._ordinal // 2) % (SELECT count(*) FROM embeddings) WHERE in_folders),
   z AS (SELECT a._ordinal, max(array_cosine_similarity(a.v, b.v)) AS s FROM x a JOIN x b ON a._ordinal <> b._ordinal GROUP BY 1), y AS (SELECT c.*, coalesce(z.s > 0.95, false) AS dup FROM c LEFT JOIN z USING (_ordinal)),
   w AS (SELECT *, row_number() OVER (PARTITION BY dup, sender, to_key, subject, date_text ORDER BY _ordinal) AS n FROM y) SELECT _ordinal FROM w WHERE NOT dup OR n = 1"""
 
@@ -241,10 +239,12 @@ ORACLE = {
     "knn_topk": f"{_neighbours('true', 'true', 10, True)} SELECT query_id, rank, neighbour_id, round(sim, 6) AS similarity FROM n",
     "similarity_features": f"{_neighbours('true', 'true', 10, True)} {FEATURES}",
     "similarity_features_new": f"{_neighbours('q.vec_id % 5 = 0', 'r.vec_id % 5 <> 0', 10, False)} {FEATURES}",
-    "semantic_max": "WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings) SELECT q.vec_id AS id, concat('t', r.vec_id % 3) AS lexicon, round(max(array_cosine_similarity(q.x, r.x)), 6) AS similarity FROM e q, e r WHERE r.vec_id < 20 GROUP BY ALL",
-    "semantic_max_whole": "WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings) SELECT q.vec_id AS id, concat('t', r.vec_id % 3) AS lexicon, round(max(array_cosine_similarity(q.x, r.x)), 6) AS similarity FROM e q, e r GROUP BY ALL",
+    "semantic_max": "WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings) SELECT q.vec_id AS id, concat('t', r.vec_id % 3) AS lexicon, round(max(array_cosine_similarity(q.x, r.x)), 6) AS similarity FROM e q, e r GROUP BY ALL",
     "near_dup_removed": _near_sql(),
-    "near_dup_removed_whole": _near_sql("(SELECT count(*) FROM embeddings)"),
     "weak_posterior": _posterior_sql(),
+    "topic_summary": rf"""{PRED}, d AS (SELECT topic, subject FROM p JOIN emails USING (message_id) WHERE subject IS NOT NULL AND topic >= 0), w AS (SELECT topic, unnest(regexp_extract_all(lower(subject), '\p{{L}}{{3,}}')) AS w FROM d),
+      f AS (SELECT topic, w, count(*) AS tf FROM w GROUP BY ALL), x AS (SELECT *, sum(tf) OVER (PARTITION BY w) AS f FROM f), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM f GROUP BY topic)),
+      r AS (SELECT topic, w, row_number() OVER (PARTITION BY topic ORDER BY tf * ln(1 + a / f) DESC, w) AS n FROM x, a), g AS (SELECT topic, string_agg(w, '_' ORDER BY n) AS name FROM r WHERE n <= 4 GROUP BY 1)
+      SELECT topic, coalesce(name, 'noise') AS name, count(*) AS n, avg(pred::DOUBLE) AS mean_label, avg(pred::DOUBLE) AS mean_pred, avg(proba) AS mean_proba, avg(topic_probability) AS mean_topic_probability FROM p LEFT JOIN g USING (topic) GROUP BY ALL""",
     "fitted_patterns": f"{_votes_sql()} SELECT count(*) AS n, count(DISTINCT votes) AS patterns FROM v",
 }

@@ -203,7 +203,7 @@ def test_frequent_phrases_whole_equals_brute_force(spark):
         docs.update(grams.keys())
     top = sorted((g for g in count if 10 <= docs[g] <= 0.8 * len(texts)), key=lambda g: (-count[g], g))[:50_000]
     want = {g: count[g] / len(texts) for g in top if count[g] / len(texts) > 0.01}
-    got = {r["ngram"]: r["rate"] for r in QUERIES["frequent_phrases_whole"](spark, d).collect()}
+    got = {r["ngram"]: r["rate"] for r in QUERIES["frequent_phrases"](spark, d).collect()}
     assert {len(g.split()) for g in want} == {3, 4, 5, 6} and len(want) > 200 and len(lexicon.STOP_WORDS) == 318
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
 
@@ -215,11 +215,11 @@ def test_whole_queries_read_whole_tables(spark):
 
     d = "/root/testdata/sf0.1"
     events = spark.read.parquet(f"{d}/events.parquet").filter("ts is not null").count()
-    assert sum(r["n"] for r in plans.QUERIES["dense_hours_whole"](spark, d).collect()) == events
+    assert sum(r["n"] for r in plans.QUERIES["dense_hours"](spark, d).collect()) == events
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").count()
     assert vectors > 500 and scores._mail_vectors_by_mail(spark, d, None).select("embedding").distinct().count() > 500
-    assert "near_dup_removed_whole" in scores.QUERIES
-    best = scores.QUERIES["semantic_max_whole"](spark, d.replace("sf0.1", "sf0.01")).groupBy("id").agg(F.max("similarity").alias("s"))
+    assert "near_dup_removed" in scores.QUERIES
+    best = scores.QUERIES["semantic_max"](spark, d.replace("sf0.1", "sf0.01")).groupBy("id").agg(F.max("similarity").alias("s"))
     assert best.filter("s > 0.9999").count() == best.count() > 20  # each text is among the terms
 
 
