@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
+
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -41,3 +44,27 @@ class EngineConfig:
     review_topic: float = 0.2
     min_samples: int = 100
     review_items: int = 50
+
+    @classmethod
+    def load(cls, spark: SparkSession | None = None, **given: object) -> EngineConfig:
+        """Settings given, else of the session (mailloom.<name>), else of the environment (MAILLOOM_<NAME>), else the defaults.
+
+        Texts are read as the setting's own type; a text that isn't one raises ValueError.
+        """
+        out = dict(given)
+        for f in fields(cls):
+            said = spark.conf.get(f"mailloom.{f.name}", None) if spark else None
+            said = os.environ.get(f"MAILLOOM_{f.name.upper()}") if said is None else said
+            if f.name not in out and said is not None:
+                out[f.name] = _read(said, f.default)
+        return cls(**out)
+
+
+def _read(said: str, default: object) -> object:
+    if isinstance(default, bool):
+        if said.strip().lower() not in ("true", "false", "1", "0"):
+            raise ValueError(f"neither true nor false: {said!r}")
+        return said.strip().lower() in ("true", "1")
+    if isinstance(default, tuple):
+        return tuple(type(default[0])(x) for x in said.split(","))
+    return type(default)(said)

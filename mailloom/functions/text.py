@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +24,10 @@ THREAD_MARK = (
 # Closing lines of a message.
 CLOSINGS = ["thanks", "thank you", "many thanks", "thx", "regards", "best regards", "kind regards", "best", "all the best", "sincerely", "cheers", "br", "rgds", "talk soon"]
 MARKUP = r"(?i)</?[a-z][\s\S]*?>|&(?:amp|lt|gt|quot|nbsp);"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+REFERENCE = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+# Named and numeric references by the rules of HTML 5: names that end in a semicolon; 80 to 9F mean Windows 1252.
+NAMED = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+LEGACY = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
 
 
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,13 +56,33 @@ def word_pattern(terms: list[str]) -> str | None:
     return rf"(?i)\b(?:{'|'.join(map(re.escape, terms))})\b" if terms else None
 
 
+def unescaped(c: Column) -> Column:
+    """Character references resolved once; what is none, or names nothing, stays."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # folded to a literal
+    legacy = F.from_json(F.lit(json.dumps(LEGACY)), "map<string,string>")
+
+    def number(reference: Column) -> Column:
+        hexed = F.lower(F.substring(reference, 2, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substring(reference, 3, 8), 16, 10)).otherwise(F.substring(reference, 2, 9)).cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(~valid, F.lit("\ufffd")).otherwise(F.coalesce(F.element_at(legacy, code.cast("string")), char))
+
+    def part(p: Column, i: Column) -> Column:
+        def resolved(reference: Column) -> Column:
+            char = F.when(reference.startswith("#"), number(reference)).otherwise(F.element_at(names, reference))
+            found = (i > 0) & (reference != "") & char.isNotNull()
+            return F.when(found, F.concat(char, F.substring(p, F.length(reference) + 2, F.length(p)))).when(i > 0, F.concat(F.lit("&"), p)).otherwise(p)
+
+        return let(F.regexp_extract(p, REFERENCE, 1), resolved)
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), part), "")).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Text nodes joined by blanks if there is markup, else the text as it is; scripts and styles are dropped. Null gives empty."""
     def nodes(plain: Column) -> Column:
-        decoded = plain
-        for entity, char in ENTITIES.items():
-            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-        decoded = F.regexp_replace(decoded, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
+        decoded = F.regexp_replace(unescaped(plain), r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
         kept = F.transform(F.split(decoded, r"<[^>]*>"), stripped)
         return F.when(plain.rlike(MARKUP), F.array_join(F.filter(kept, lambda x: x != ""), " ")).otherwise(plain)
 

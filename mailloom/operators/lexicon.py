@@ -221,6 +221,7 @@ def grown(lexicon: DataFrame, mail: DataFrame, embed: Embed = hashed_embedding,
     best = hits.join(seeds.select(F.col("id").alias("query_id"), "lexicon"), "query_id").groupBy("lexicon", F.col("neighbour_id").alias("id")).agg(F.max("similarity").alias("similarity"))
     phrases = key_phrases(unique.select("id", "text").join(best.select("id").distinct(), "id"), embed, top=top)
     new = best.join(phrases, "id").select("lexicon", F.col("phrase").alias("prototype"), F.lit("Generated").alias("source"), F.bround("similarity", 4).alias("similarity"), (F.lit(1 << 40) + F.pmod(F.xxhash64("phrase"), F.lit(1 << 40))).alias("_ordinal"))
+    new = new.groupBy("lexicon", "prototype", "source", "_ordinal").agg(F.max("similarity").alias("similarity")).select(*new.columns)  # a phrase of several sentences: its best
     return keep_first(lexicon.select(*new.columns).unionByName(new), ["lexicon", "prototype"], "_ordinal")
 
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 import logging
-from pathlib import Path
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.operators.analytics import top_per_group
+from mailloom.session import Documents
 
 log = logging.getLogger(__name__)
 
@@ -23,6 +23,7 @@ class TopicModel:
 
     def __init__(self, topics: int = 10, components: int = 5, noise: float = 0.98, seed: int = 42, tries: int = 3) -> None:
         self.topics, self.components, self.noise, self.seed, self.tries = topics, components, noise, seed, tries
+        self.names: dict[int, str] = {}  # by topic, saved with the model
 
     def fit(self, vectors: DataFrame) -> TopicModel:
         """(id, embedding). Relaxes the noise cut-off while every row is noise; raises if none is left that isn't."""
@@ -55,14 +56,15 @@ class TopicModel:
     def save(self, folder: str) -> None:
         self.reduce.write().overwrite().save(f"{folder}/components")
         self.cluster.write().overwrite().save(f"{folder}/clusters")
-        Path(f"{folder}/topics.json").write_text(json.dumps({"cut": self.cut, "centres": [c.tolist() for c in self.centres], "topics": self.topics, "seed": self.seed}))
+        Documents(SparkSession.active(), folder).write("topics.json", json.dumps({"cut": self.cut, "centres": [c.tolist() for c in self.centres], "topics": self.topics, "seed": self.seed, "names": self.names}))
 
     @classmethod
     def load(cls, folder: str) -> TopicModel:
-        info = json.loads(Path(f"{folder}/topics.json").read_text())
+        info = json.loads(Documents(SparkSession.active(), folder).read("topics.json"))
         model = cls(info["topics"], seed=info["seed"])
         model.reduce, model.cluster = PCAModel.load(f"{folder}/components"), BisectingKMeansModel.load(f"{folder}/clusters")
         model.cut, model.centres = info["cut"], [np.asarray(c) for c in info["centres"]]
+        model.names = {int(k): v for k, v in info.get("names", {}).items()}
         return model
 
 

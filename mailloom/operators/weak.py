@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.config import EngineConfig
 from mailloom.functions.text import text
 from mailloom.operators.lexicon import matches, terms
+from mailloom.session import Documents
 
 ABSTAIN, CALM, URGENT = -1, 0, 1
 # What a lexicon votes for; an unknown one votes urgent.
@@ -40,9 +42,30 @@ def voted(mail: DataFrame, functions: dict[str, Column]) -> DataFrame:
     return mail.withColumn("votes", F.array(*[c.cast("int") for c in functions.values()]))
 
 
-def vote_patterns(df: DataFrame) -> DataFrame:
+PATTERNS = 200_000  # distinct vote patterns that the fit takes to the driver
+
+
+def vote_patterns(df: DataFrame, *by: Column) -> DataFrame:
     """(votes, n): distinct vote patterns; all the label model needs."""
-    return df.groupBy("votes").agg(F.count("*").alias("n"))
+    return df.groupBy("votes", *by).agg(F.count("*").alias("n"))
+
+
+def collected_patterns(patterns: DataFrame) -> list:
+    """The counted patterns on the driver; more than PATTERNS of them are refused, for they are no small table."""
+    rows = patterns.limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} distinct vote patterns: use fewer labelling functions")
+    return rows
+
+
+def weighted_vote(weights: dict[str, float], functions: dict[str, Column]) -> Column:
+    """The class of the larger total weight of its votes, -1 where none votes or both weigh the same; functions without a weight count 1."""
+    def total(label: int) -> Column:
+        parts = [F.when(c == label, F.lit(float(weights.get(name, 1.0)))).otherwise(F.lit(0.0)) for name, c in functions.items()]
+        return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+
+    urgent, calm = total(URGENT), total(CALM)
+    return F.when(urgent > calm, URGENT).when(calm > urgent, CALM).otherwise(ABSTAIN)
 
 
 def vote_summary(df: DataFrame, names: list[str]) -> DataFrame:
@@ -70,7 +93,8 @@ class LabelModel:
     def fit(self, patterns: list[tuple[list[int], int]], epochs: int = 500, rate: float = 0.05, seed: int = 42) -> LabelModel:
         """Matches the observed second moments of one-hot votes to mu diag(p) mu' off the blocks of single functions, by seeded gradient descent.
 
-        patterns: distinct votes with counts, so the fit's size doesn't depend on the number of rows.
+        patterns: distinct votes with counts, so the fit's size doesn't depend on the number of rows. The rate is for
+        plain descent on exact moments; smaller ones, as are usual with stochastic optimisers, leave it short of the optimum after as many epochs.
         """
         m = len(self.names)
         total = sum(n for _, n in patterns)
@@ -113,13 +137,14 @@ class LabelModel:
         return F.when(F.exists(votes, lambda v: v >= 0), 1 / (1 + F.exp(-total)))
 
     def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump(self.__dict__, f)
+        """On any file system Spark knows."""
+        folder, _, name = path.rpartition("/")
+        Documents(SparkSession.active(), folder).write(name, json.dumps(self.__dict__))
 
     @classmethod
     def load(cls, path: str) -> LabelModel:
-        with open(path) as f:
-            return cls(**json.load(f))
+        folder, _, name = path.rpartition("/")
+        return cls(**json.loads(Documents(SparkSession.active(), folder).read(name)))
 
 
 def silver(df: DataFrame, model: LabelModel, strict: bool = False) -> DataFrame:
@@ -145,7 +170,7 @@ def searched(mail: DataFrame, lexicon: DataFrame, gold: str, semantic_column: st
     for _ in range(config.label_trials if semantic_column else 1):
         semantic = float(rng.uniform(0.30, 0.90)) if semantic_column else config.semantic_threshold
         functions = labelling_functions(lexicon, semantic, semantic_column)
-        counts = voted(mail, functions).groupBy("votes", F.when(known, F.col(gold)).alias("y")).agg(F.count("*").alias("n")).collect()
+        counts = collected_patterns(vote_patterns(voted(mail, functions), F.when(known, F.col(gold)).alias("y")))
         free = [(list(r["votes"]), r["n"]) for r in counts if r["y"] is None] or [(list(r["votes"]), r["n"]) for r in counts]
         model = LabelModel(list(functions), semantic=semantic).fit(free, config.label_epochs)
         odds = model.log_odds()
@@ -157,5 +182,5 @@ def searched(mail: DataFrame, lexicon: DataFrame, gold: str, semantic_column: st
             if f1 > best_f1:
                 best, best_f1 = (semantic, float(threshold)), f1
     functions = labelling_functions(lexicon, best[0], semantic_column)
-    every = [(list(r["votes"]), r["n"]) for r in vote_patterns(voted(mail, functions)).collect()]
+    every = [(list(r["votes"]), r["n"]) for r in collected_patterns(vote_patterns(voted(mail, functions)))]
     return LabelModel(list(functions), semantic=best[0], threshold=best[1]).fit(every, config.label_epochs)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +23,10 @@ from mailloom.operators.splits import thread_split
 from mailloom.operators.topics import TopicModel, topic_features
 from mailloom.operators.weak import LabelModel, final_label, labelling_functions, searched, silver, voted
 from mailloom.schemas import SIMILARITY
-from mailloom.session import written
+from mailloom.session import Documents, written
 from mailloom.sources.files import save, save_csv, save_document
 
+log = logging.getLogger(__name__)
 META = ["response_time", "time_since_last_email", "sent_hour", "sent_weekday", "is_after_hours", "is_weekend", "n_recipient", "n_recipient_domains", "n_words", "n_sentences", "is_internal", "is_external"]
 
 
@@ -43,7 +44,7 @@ class Models:
     @classmethod
     def load(cls, folder: str) -> Models:
         """Raises FileNotFoundError if the folder holds no trained models."""
-        info = json.loads((Path(folder) / "model.json").read_text())
+        info = json.loads(Documents(SparkSession.active(), folder).read("model.json"))
         return cls(folder, LabelModel.load(f"{folder}/labels.json"), PipelineModel.load(f"{folder}/classifier"), info["features"], info["threshold"], TopicModel.load(f"{folder}/topics"))
 
 
@@ -77,6 +78,12 @@ def cleaned(mail: DataFrame, config: EngineConfig) -> DataFrame:
     return mail.withColumn("_clean", F.substring(F.concat_ws(" ", subject, body), 1, config.text_length))
 
 
+def with_semantic(mail: DataFrame, vectors: DataFrame, lexicon: DataFrame, embed: Embed) -> DataFrame:
+    """Adds semantic: each lexicon's largest similarity to the mail, as the semantic labelling functions read it."""
+    terms = embedded(lexicon.select("lexicon", "prototype"), "prototype", embed=embed)
+    return mail.join(K.semantic_scores(vectors, terms).withColumnRenamed("id", "_ordinal"), "_ordinal", "left")
+
+
 def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embed: Embed = hashed_embedding, grow: bool = False, reuse: bool = False) -> tuple[DataFrame, Models]:
     """Lexicons, weak labels, features, out-of-fold scores, threshold and final model; writes dataset.parquet and the models. reuse keeps a saved classifier of the same features."""
     spark = mail.sparkSession
@@ -85,8 +92,9 @@ def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), e
     lexicon = seed_lexicon(spark)
     if grow:
         lexicon = written(grown(lexicon, mail, embed, config.lexicon_neighbours, config.lexicon_similarity, config.phrases), "lexicon")
-    label_model = searched(mail, lexicon, "gold_labels", config=config)
-    voters = labelling_functions(lexicon, label_model.semantic)
+    mail = written(with_semantic(mail, vectors, lexicon, embed), "semantic-mail")
+    label_model = searched(mail, lexicon, "gold_labels", "semantic", config)
+    voters = labelling_functions(lexicon, label_model.semantic, "semantic")
     marked = silver(voted(mail, voters), label_model, config.strict_reference)
     marked = written(marked.withColumn("label", F.coalesce(final_label(F.col("gold_labels"), F.col("silver_label")), F.lit(0))), "marked")
     labels = marked.select(F.col("_ordinal").alias("id"), "label")
@@ -95,19 +103,17 @@ def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), e
     names = [c for c in table.columns if c not in ("id", "label")]
     folds = written(C.out_of_fold(table, names, "id", config=config), "oof")
     threshold = C.tuned_threshold(folds)
-    saved = Models.load(folder) if reuse and Path(f"{folder}/model.json").exists() else None
+    saved = Models.load(folder) if reuse and Documents(spark, folder).exists("model.json") else None
     if saved and saved.features == names:  # a saved model serves only the same features in the same order
         classifier, threshold = saved.classifier, saved.threshold
     else:
         classifier = C.fitted(table, names, config=config)
     done = C.scored(folds, classifier, names).withColumn("pred", (F.col("proba") >= threshold).cast("int")).withColumn("threshold", F.lit(threshold))
-    out = marked.drop("label", "votes", "_clean").join(done.withColumnRenamed("id", "_ordinal"), "_ordinal")
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    out = marked.drop("label", "votes", "_clean", "semantic").join(done.withColumnRenamed("id", "_ordinal"), "_ordinal")
     save(out, f"{folder}/dataset.parquet")
     save(vectors.join(labels, "id"), f"{folder}/vectors.parquet")
     save(lexicon, f"{folder}/lexicon.parquet")
     label_model.save(f"{folder}/labels.json")
-    Path(f"{folder}/topics").mkdir(exist_ok=True)
     topics.save(f"{folder}/topics")
     classifier.write().overwrite().save(f"{folder}/classifier")
     save_document({"features": names, "threshold": threshold}, f"{folder}/model.json")
@@ -115,7 +121,14 @@ def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), e
 
 
 def score(mail: DataFrame, models: Models, config: EngineConfig = EngineConfig(), embed: Embed = hashed_embedding) -> DataFrame:
-    """(_ordinal, message_id, urgent, proba, threshold, topic, topic_probability) of new mail: the same function for a batch, a stream's micro-batch and a single row."""
+    """(_ordinal, message_id, urgent, proba, threshold, silver_label, label, topic, topic_probability) of new mail: the same function for a batch, a stream's micro-batch and a single row.
+
+    label is the gold label if the mail has one (column gold_labels, 0 or 1), else the silver one. If the label model or
+    its lexicon can't be used, silver labels are 0; without a topic model topics are -1 with probability 0; a model
+    that doesn't name its features raises ValueError.
+    """
+    if not models.features:
+        raise ValueError("the model does not name its features")
     spark = mail.sparkSession
     mail = written(cleaned(mail, config), "score-mail")
     vectors = written(embedded(mail.select(F.col("_ordinal").alias("id"), "_clean"), "_clean", embed=embed).select("id", "embedding"), "score-vectors")
@@ -123,13 +136,29 @@ def score(mail: DataFrame, models: Models, config: EngineConfig = EngineConfig()
     table = features(mail, vectors, known.select("id", "embedding"), known.select("id", "label"), models.topics, config, in_sample=False)
     done = C.scored(table, models.classifier, models.features)
     out = done.select(F.col("id").alias("_ordinal"), (F.col("proba") >= models.threshold).alias("urgent"), "proba", F.lit(models.threshold).alias("threshold"), "topic", "topic_probability")
-    return mail.select("_ordinal", "message_id").join(out, "_ordinal")
+    gold = F.col("gold_labels") if "gold_labels" in mail.columns else F.lit(None).cast("int")
+    marked = silver_labels(mail, vectors, models, embed).withColumn("label", F.coalesce(final_label(gold, F.col("silver_label")), F.lit(0)))
+    return marked.select("_ordinal", "message_id", "silver_label", "label").join(out, "_ordinal")
+
+
+def silver_labels(mail: DataFrame, vectors: DataFrame, models: Models, embed: Embed) -> DataFrame:
+    """Adds silver_label of the saved label model; 0 where it or its lexicon can't be used, or every function abstains."""
+    try:
+        lexicon = mail.sparkSession.read.parquet(f"{models.folder}/lexicon.parquet")
+        voters = labelling_functions(lexicon, models.label_model.semantic, "semantic")
+        if list(voters) != models.label_model.names:
+            raise ValueError("the lexicon is not the one of the label model")
+        marked = silver(voted(with_semantic(mail, vectors, lexicon, embed), voters), models.label_model)
+        return marked.withColumn("silver_label", F.coalesce("silver_label", F.lit(0)))
+    except Exception as e:  # noqa: BLE001
+        log.warning("no silver labels: %s", str(e)[:200])
+        return mail.withColumn("silver_label", F.lit(0))
 
 
 def evaluate(scored: DataFrame, gold: DataFrame, folder: str | None = None) -> dict:
     """Metrics of scored mail against gold labels (0 or 1; others don't count), written as metrics.json."""
     one = gold.filter("gold_labels in (0, 1)").groupBy("message_id").agg(F.max("gold_labels").alias("label"))
-    rows = scored.join(one, "message_id").select("label", F.col("proba").alias("score"), F.col("urgent").cast("int").alias("pred"))
+    rows = scored.select("message_id", "proba", "urgent").join(one, "message_id").select("label", F.col("proba").alias("score"), F.col("urgent").cast("int").alias("pred"))
     metrics = E.metric_row(rows, "gold").first().asDict()
     if folder:
         save_document(metrics, f"{folder}/metrics.json")
@@ -145,8 +174,8 @@ def watch(rows: DataFrame, folder: str, baseline: DataFrame | None = None, confi
         else:
             baseline = monitor.first_rows(rows, max(100, config.min_samples))
     queue = written(monitor.review_queue(rows, config), "queue")
+    save(monitor.baseline_profile(monitor.defaults(baseline)), f"{folder}/baseline.parquet")
     snap = monitor.snapshot(rows, baseline, config, F.lit(queue.count())).first().asDict(recursive=True)
-    Path(folder).mkdir(parents=True, exist_ok=True)
     save_document(snap, f"{folder}/snapshot.json")
     save_csv(queue.drop("_ordinal"), f"{folder}/review_queue")
     return snap

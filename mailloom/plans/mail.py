@@ -38,9 +38,9 @@ QUERIES = {
     "clean_subject": lambda s, d: view(s, d).select("_ordinal", X.clean_subject(F.col("subject")).alias("clean")),
     "reply_forward_flags": lambda s, d: view(s, d).select("_ordinal", X.is_reply(F.col("subject")).alias("is_reply"), X.is_forward(F.col("subject")).alias("is_forward")),
     "entity_removal": lambda s, d: view(s, d).select("_ordinal", X.single_punctuation(X.single_spaces(X.without_entities(F.lower(X.text(F.col("body")))))).alias("clean")),
-    "thread_mark_cut": lambda s, d: view(s, d).select("_ordinal", F.char_length(X.before(F.regexp_replace(F.lower(X.text(F.col("body"))), r"\r\n?", "\n"), X.THREAD_MARK)).alias("n_kept")),
+    "thread_mark_cut": lambda s, d: view(s, d).select("_ordinal", X.before(F.regexp_replace(F.lower(X.text(F.col("body"))), r"\r\n?", "\n"), X.THREAD_MARK).alias("kept")),
     "signature_cut": lambda s, d: view(s, d).select("_ordinal", X.without_signature(X.text(F.col("body"))).alias("kept")),
-    "html_to_text": lambda s, d: view(s, d).select("_ordinal", F.char_length(X.html_to_text(F.col("body"))).alias("n_chars")),
+    "html_to_text": lambda s, d: view(s, d).select("_ordinal", X.html_to_text(F.col("body")).alias("plain")),
     "clean_body": lambda s, d: view(s, d).select("_ordinal", X.clean_body(F.col("body")).alias("clean")),
     "clean_body_strict": lambda s, d: view(s, d).select("_ordinal", X.clean_body(F.col("body"), strict=True).alias("clean")),
     "thread_ids": lambda s, d: threads(s, d).select("_ordinal", "thread_id", "sequence", "parent_id"),
@@ -162,13 +162,19 @@ _CLOSE = "|".join(X.CLOSINGS)
 SIGNATURE = rf"""{VIEW}, a AS (SELECT _ordinal, coalesce(body, '') AS body, string_split(regexp_replace(coalesce(body, ''), '\r\n?', chr(10), 'g'), chr(10)) AS l FROM m),
   b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{_CLOSE})\s*$')) AS hits FROM a)
   SELECT _ordinal, {_strip("CASE WHEN len(hits) > 0 THEN array_to_string(l[1:hits[1]], chr(10)) ELSE array_to_string(l, chr(10)) END")} AS kept FROM b"""
-_DECODED = "coalesce(body, '')"
-for _e, _c in X.ENTITIES.items():
-    _DECODED = f"replace({_DECODED}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_NAMED = "MAP {" + ", ".join(f"{_QUOTED(k)}: {_QUOTED(v)}" for k, v in X.NAMED.items()) + "}"
+_CODE = r"(CASE WHEN lower(r[2]) = 'x' THEN ('0x' || substr(r, 3))::BIGINT ELSE substr(r, 2)::BIGINT END)"
+_LEGACY = "MAP {" + ", ".join(f"{k}: {_QUOTED(v)}" for k, v in X.LEGACY.items()) + "}"
+_CHAR = f"CASE WHEN r[1] = '#' THEN CASE WHEN {_CODE} NOT BETWEEN 1 AND 1114111 OR {_CODE} BETWEEN 55296 AND 57343 THEN chr(65533) ELSE coalesce({_LEGACY}[{_CODE}], chr({_CODE}::INT)) END ELSE {_NAMED}[r] END"
+# Of all references in the table the few distinct ones are resolved, each in a body by one pass over the parts between ampersands.
+REFERENCES = rf"""refs AS MATERIALIZED (SELECT map_from_entries(list((r, c))) AS known FROM (SELECT r, {_CHAR} AS c FROM (SELECT DISTINCT unnest(regexp_extract_all(body, '&(#[0-9]{{1,9}}|#[xX][0-9a-fA-F]{{1,8}}|[A-Za-z][A-Za-z0-9]*);', 1)) AS r FROM emails)) WHERE c IS NOT NULL)"""
+_REF = f"regexp_extract(p, '{X.REFERENCE}', 1)"
+_DECODED = f"array_to_string(list_transform(string_split(coalesce(body, ''), '&'), lambda p, i: CASE WHEN i = 1 THEN p WHEN known[{_REF}] IS NOT NULL THEN known[{_REF}] || substr(p, length({_REF}) + 2) ELSE '&' || p END), '')"
 _DECODED = rf"regexp_replace({_DECODED}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', '', 'g')"
 _NODES = f"array_to_string(list_filter(list_transform(string_split_regex({_DECODED}, '<[^>]*>'), lambda x: {_strip('x')}), lambda x: x <> ''), ' ')"
 PLAIN = f"CASE WHEN regexp_matches(coalesce(body, ''), '{X.MARKUP}') THEN {_NODES} ELSE coalesce(body, '') END"
-CLEAN = rf"""{VIEW}, h AS (SELECT _ordinal, {_strip(f"lower({PLAIN})")} AS body FROM m), a AS (SELECT _ordinal, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM h),
+CLEAN = rf"""{VIEW}, {REFERENCES}, h AS (SELECT _ordinal, {_strip(f"lower({PLAIN})")} AS body FROM m, refs), a AS (SELECT _ordinal, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM h),
   b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{_CLOSE})\s*$')) AS hits FROM a),
   c AS (SELECT _ordinal, {_strip("array_to_string(CASE WHEN len(hits) > 0 THEN l[1:hits[1]] ELSE l END, chr(10))")} AS t FROM b),
   d AS (SELECT _ordinal, replace({_strip(f"string_split_regex(t, '{X.THREAD_MARK}')[1]")}, chr(10), ' ') AS body FROM c) SELECT _ordinal, {_strip(ENTITIES)} AS clean FROM d"""
@@ -227,9 +233,9 @@ ORACLE = {
     "clean_subject": f"{VIEW} SELECT _ordinal, {SUBJECT} AS clean FROM m",
     "reply_forward_flags": f"{VIEW} SELECT _ordinal, {REPLY} AS is_reply, {FORWARD} AS is_forward FROM m",
     "entity_removal": f"{VIEW} SELECT _ordinal, {ENTITIES} AS clean FROM m",
-    "thread_mark_cut": rf"{VIEW} SELECT _ordinal, length({_strip(_HEAD)})::INT AS n_kept FROM m",
+    "thread_mark_cut": rf"{VIEW} SELECT _ordinal, {_strip(_HEAD)} AS kept FROM m",
     "signature_cut": SIGNATURE,
-    "html_to_text": f"{VIEW} SELECT _ordinal, length({PLAIN})::INT AS n_chars FROM m",
+    "html_to_text": f"{VIEW}, {REFERENCES} SELECT _ordinal, {PLAIN} AS plain FROM m, refs",
     "clean_body": CLEAN,
     "thread_ids": f"{THREADS} SELECT _ordinal, thread_id, row_number() OVER w::INT AS sequence, lag(message_id) OVER w AS parent_id FROM t WINDOW w AS (PARTITION BY thread_id ORDER BY date, _ordinal)",
     "domains_recipients": f"{VIEW} SELECT _ordinal, {DOMAIN} AS sender_domain, array_to_string({DOMAINS}, ',') AS domains, {RECIPIENTS} AS n_recipient, ({RECIPIENTS} + CASE WHEN {NULL_LIST} THEN 1 ELSE 0 END)::INT AS n_recipient_strict FROM m",

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mailloom.schemas import EMAIL, conform
+from mailloom.session import Documents, written
 
 
 def records(spark: SparkSession, path: str, schema: StructType = EMAIL, strict: bool = True) -> DataFrame:
@@ -38,14 +38,18 @@ def plain_lines(spark: SparkSession, path: str, *names: str) -> DataFrame:
 
 def lexicon_folder(spark: SparkSession, path: str) -> DataFrame:
     """All CSV files of a folder with the file's stem as lexicon; empty files are skipped."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
-    return raw.withColumn("lexicon", F.regexp_extract("_file", r"^(.*)\.csv$", 1)).withColumn("_ordinal", F.monotonically_increasing_id()).drop("_file", "_at")
+    raw = spark.read.option("header", True).option("multiLine", True).option("pathGlobFilter", "*.csv").csv(path).select("*", F.col("_metadata.file_name").alias("_file"))
+    # A file is read whole by one task, so its rows come in their order; files are ordered by name.
+    placed = raw.withColumn("_row", F.monotonically_increasing_id())
+    row = F.row_number().over(Window.partitionBy("_file").orderBy("_row"))  # a file is a small dictionary
+    return placed.withColumn("lexicon", F.regexp_extract("_file", r"^(.*)\.csv$", 1)).withColumn("_ordinal", F.dense_rank().over(Window.orderBy("_file")) * (1 << 32) + row).drop("_file", "_row")
 
 
 def existing(path: str) -> str:
     """The path, or its parquet sibling if only that exists."""
-    p = Path(path)
-    return path if p.exists() or not p.with_suffix(".parquet").exists() else str(p.with_suffix(".parquet"))
+    folder, _, name = path.rpartition("/")
+    here, other = Documents(SparkSession.active(), folder), f"{name.rpartition('.')[0] or name}.parquet"
+    return path if here.exists(name) or not here.exists(other) else f"{folder}/{other}"
 
 
 def save(df: DataFrame, path: str, codec: str = "zstd") -> None:
@@ -63,19 +67,16 @@ def save_json(df: DataFrame, path: str) -> None:
 
 def save_document(value: dict, path: str) -> None:
     """A metrics or snapshot document."""
-    Path(path).write_text(json.dumps(value, indent=2, default=str))
+    folder, _, name = path.rpartition("/")
+    Documents(SparkSession.active(), folder).write(name, json.dumps(value, indent=2, default=str))
 
 
 def resumed(spark: SparkSession, incoming: DataFrame, path: str, key: str = "id") -> int:
     """Appends only rows whose key the folder doesn't hold yet; returns how many. An empty batch writes nothing."""
-    try:
-        known = spark.read.parquet(path).select(key)
+    folder, _, name = path.rpartition("/")
+    if Documents(spark, folder).exists(name):
+        known = spark.read.schema(incoming.schema).parquet(path).select(key)
         incoming = incoming.join(known, key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    from mailloom.session import written
-
     fresh = written(incoming, "chunk")
     n = fresh.count()
     if n:

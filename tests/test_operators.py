@@ -217,7 +217,7 @@ def test_whole_queries_read_whole_tables(spark):
     events = spark.read.parquet(f"{d}/events.parquet").filter("ts is not null").count()
     assert sum(r["n"] for r in plans.QUERIES["dense_hours"](spark, d).collect()) == events
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").count()
-    assert vectors > 500 and scores._mail_vectors_by_mail(spark, d, None).select("embedding").distinct().count() > 500
+    assert vectors > 500 and scores._mail_vectors_by_mail(spark, d).select("embedding").distinct().count() > 500
     assert "near_dup_removed" in scores.QUERIES
     best = scores.QUERIES["semantic_max"](spark, d.replace("sf0.1", "sf0.01")).groupBy("id").agg(F.max("similarity").alias("s"))
     assert best.filter("s > 0.9999").count() == best.count() > 20  # each text is among the terms
@@ -281,3 +281,92 @@ def test_schemas(spark):
         require(df, "missing")
     assert aligned(df, ["id", "z"]).first()["z"] == 0.0 and not same_features(df, ["other", "id", "from"])
     assert {r["rule"]: r["n_violations"] for r in violations(df, {"a": F.col("id") > 0, "b": F.col("id") > 5}).collect()} == {"a": 0, "b": 1}
+
+
+def test_html_references(spark):
+    import html
+
+    texts = ["caf&eacute; &amp;lt; &#8217;x&#x2019; &mdash; &#150; &nosuch; &#0; &#xD800; & &; a&b &#1114112; &NotEqualTilde;", "none", "&", "", None, "&hellip;&hellip;", "&amp;amp;"]
+    got = {r["t"]: r["u"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.unescaped(F.col("t")).alias("u")).collect()}
+    want = lambda t: html.unescape(t)
+    assert got == {t: None if t is None else want(t) for t in texts}
+    assert spark.range(1).select(X.html_to_text(F.lit("<p>caf&eacute;</p><p>&#8217;</p>")).alias("t")).first()["t"] == "café ’"
+
+
+def test_folds_differ_by_one_row_and_splits_keep_their_share(spark):
+    rows = [(i, i % 7 == 0, None if i % 11 else "g", f"t{i // 3}") for i in range(205)]
+    df = spark.createDataFrame(rows, "id long, label boolean, gold string, thread_id string")
+    sizes = {}
+    for r in splits.stratified_folds(df, "label", "id").groupBy("label", "fold").count().collect():
+        sizes.setdefault(r["label"], []).append(r["count"])
+    assert all(len(v) == 4 and max(v) - min(v) <= 1 for v in sizes.values()) and sum(map(sum, sizes.values())) == 205
+    whole = splits.thread_split(df)
+    assert whole.filter("split = 'test'").select("thread_id").distinct().count() == 14  # of 69
+    by_gold = splits.thread_split(df, gold="gold").collect()
+    has = {t for *_, g, t in rows if g}
+    test = {r["thread_id"] for r in by_gold if r["split"] == "test"}
+    assert len(test & has) == -(-len(has) // 5) and len(test - has) == -(-(69 - len(has)) // 5)
+    assert not test & {r["thread_id"] for r in by_gold if r["split"] == "train"}
+    strict = splits.thread_split(df, gold="gold", strict=True).collect()
+    assert len(strict) == 205 and len({(r["thread_id"], r["gold"] is None, r["split"]) for r in strict}) == len({(t, g is None) for *_, g, t in rows})
+    assert splits.thread_split(df.limit(0)).count() == 0 and splits.stratified_folds(df.limit(0), "label", "id").count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_knn_equals_brute_force_with_ties(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(15, 5)), 4, axis=0)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -9)
+    want = {(i, r): int(j) for i in range(60) for r, j in enumerate(np.lexsort((np.arange(60), -s[i]))[:6])}
+    assert {(r["query_id"], r["rank"]): r["neighbour_id"] for r in knn.knn(df, df, 6, exclude_self=True, block=block).collect()} == want
+    terms = spark.createDataFrame([(f"l{i % 3}", v.tolist()) for i, v in enumerate(x[:9])] + [("l1", None)], "lexicon string, embedding array<double>")
+    scores = {r["id"]: r["semantic"] for r in knn.semantic_scores(df, terms).collect()}
+    assert len(scores) == 60 and all(abs(scores[i][f"l{g}"] - (u[i] @ u[:9][g::3].T).max()) < 1e-12 for i in range(60) for g in range(3))
+    assert knn.max_similarity(df, terms.limit(0)).count() == 0
+
+
+def test_semantic_and_weighted_votes(spark):
+    m = spark.createDataFrame([(1, "x", "nothing", {"urgency": 0.7, "bulk": 0.5}), (2, "x", "nothing", None)], "_ordinal long, subject string, body string, semantic map<string,double>")
+    f = weak.labelling_functions(lexicon.seed_lexicon(spark), 0.6, "semantic")
+    votes = {r["_ordinal"]: dict(zip(f, r["votes"])) for r in weak.voted(m, f).collect()}
+    assert votes[1]["lf_urgency_semantic"] == 1 and votes[1]["lf_bulk_semantic"] == -1 and set(votes[2].values()) == {-1}
+    g = {"a": F.lit(1), "b": F.lit(0), "c": F.lit(0)}
+    got = spark.range(1).select(weak.weighted_vote({"a": 3.0}, g).alias("x"), weak.weighted_vote({}, g).alias("y"), weak.weighted_vote({"a": 2.0}, g).alias("z"), weak.weighted_vote({}, {}).alias("n")).first()
+    assert tuple(got) == (1, 0, -1, -1)
+
+
+def test_baseline_profile_and_topic_fallback(spark):
+    rows = spark.createDataFrame([(1, 0.9, 3, 0.812), (0, 0.1, 3, 0.8149), (0, 0.2, 7, None)], "pred int, proba double, topic int, topic_probability double")
+    assert {(r["key"], round(r["share"], 3)) for r in monitor.topic_shares(rows).collect()} == {("3", 0.667), ("7", 0.333)}
+    assert {(r["key"], r["share"]) for r in monitor.topic_shares(rows.drop("topic")).collect()} == {("0.81", 1.0)}
+    assert monitor.topic_shares(rows.drop("topic", "topic_probability")).count() == 0
+    profile = monitor.baseline_profile(rows)
+    assert profile.filter("kind = 'mean'").first()["share"] == pytest.approx(0.4)
+    same = monitor.profile_drift(rows, profile).first()
+    assert same["label_drift"] == same["topic_drift"] == 0 and same["confidence_drift"] == pytest.approx(0)
+    moved = monitor.profile_drift(rows.filter("pred = 1"), profile).first()
+    assert moved["label_drift"] == pytest.approx((2 * (2 / 3) ** 2) ** 0.5) and moved["confidence_drift"] == pytest.approx(0.5)
+
+
+def test_settings_from_session_and_environment(spark, monkeypatch):
+    from mailloom.config import EngineConfig
+
+    monkeypatch.setenv("MAILLOOM_FOLDS", "7")
+    monkeypatch.setenv("MAILLOOM_AFTER_HOURS", "9,18")
+    monkeypatch.setenv("MAILLOOM_SEED", "1")
+    spark.conf.set("mailloom.strict_reference", "true")
+    spark.conf.set("mailloom.seed", "5")
+    try:
+        c = EngineConfig.load(spark, test_share=0.5)
+        assert (c.folds, c.after_hours, c.seed, c.strict_reference, c.test_share, c.neighbours) == (7, (9, 18), 5, True, 0.5, 10)
+        spark.conf.set("mailloom.strict_reference", "perhaps")
+        with pytest.raises(ValueError):
+            EngineConfig.load(spark)
+    finally:
+        spark.conf.unset("mailloom.strict_reference")
+        spark.conf.unset("mailloom.seed")
