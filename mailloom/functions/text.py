@@ -134,6 +134,7 @@ def clean_body(c: Column, boilerplate: list[str] = (), closings: list[str] = CLO
     """
     c = F.lower(html_to_text(c))
     if strict:
+        closings = list(closings)[1:]  # the original system reads the first line of its list as a heading
         c = without_entities(F.replace(c, F.lit("\n"), F.lit(" ")))
         c = before(before(c, any_of(list(boilerplate))), None)
         c = before(without_signature(c, closings), THREAD_MARK)
@@ -143,6 +144,11 @@ def clean_body(c: Column, boilerplate: list[str] = (), closings: list[str] = CLO
     return stripped(single_punctuation(single_spaces(c)))
 
 
+def domain_to_end(address: Column) -> Column:
+    """All after the first @ of an address, to its end; null without one."""
+    return F.nullif(F.regexp_extract(text(address), r"@(.+)$", 1), F.lit(""))
+
+
 def is_forward(subject: Column) -> Column:
     return text(subject).rlike(r"(?i)^\s*(?:fw|fwd)\s*:")
 

@@ -32,6 +32,16 @@ def fitted(df: DataFrame, features: list[str], label: str = "label", config: Eng
     return Pipeline(stages=steps).fit(rows)
 
 
+def gradient(df: DataFrame, model: PipelineModel, features: list[str], label: str = "label") -> DataFrame:
+    """(feature, gradient) of the penalised mean loss at the model's coefficients, and of the intercept (feature "1"): zero at the optimum."""
+    rows = scored(balanced(df.filter(F.col(label).isin(0, 1)).na.fill(0, features), label), model, features, "_p")
+    fitted_ = model.stages[-1]
+    rest = F.col("weight") * (F.col("_p") - F.col(label))
+    sums = rows.agg(F.sum("weight").alias("w"), *[F.sum(rest * F.col(c)).alias(c) for c in features], F.sum(rest).alias("1"))
+    penalty = {c: float(b) * fitted_.getRegParam() for c, b in zip(features, fitted_.coefficients)} | {"1": 0.0}
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"`{c}`") / F.col("w") + p).alias("gradient")) for c, p in penalty.items()])).alias("g")).select("g.*")
+
+
 def scored(df: DataFrame, model: PipelineModel, features: list[str], out: str = "proba", fill: float = 0.0) -> DataFrame:
     """Adds P(class 1). Features the table lacks count as `fill`."""
     missing = {c: F.lit(fill) for c in features if c not in df.columns}

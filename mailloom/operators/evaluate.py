@@ -53,6 +53,16 @@ def roc_points(df: DataFrame) -> DataFrame:
     return points.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
+def roc_corners(df: DataFrame) -> DataFrame:
+    """(threshold, fpr, tpr) of roc_points() without those on a straight line between their neighbours; the first and the last score stay."""
+    c = cumulative(df).withColumns({"_k": -F.col("score"), "_at": F.struct("tp", "fp")})
+    c = with_previous(with_previous(c, "_at", "_was", "_k"), "_at", "_next", "score")
+    bent = [F.col(f"_was.{x}") + F.col(f"_next.{x}") != 2 * F.col(x) for x in ("tp", "fp")]
+    kept = c.filter(F.col("_was").isNull() | F.col("_next").isNull() | bent[0] | bent[1])
+    points = kept.select(F.col("score").alias("threshold"), over(F.col("fp"), F.col("n")).alias("fpr"), over(F.col("tp"), F.col("p")).alias("tpr"))
+    return points.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
+
+
 def auc(df: DataFrame) -> DataFrame:
     """(auc_roc): the trapezoid area; zero with a single class."""
     c = cumulative(df).withColumn("_k", -F.col("score"))

@@ -134,8 +134,15 @@ def similarity_features(neighbours: DataFrame, labels: DataFrame, zero_fill: boo
     return out.withColumn("gap_similarity", F.col("top_k_pos_similarity") - F.col("top_k_neg_similarity"))
 
 
-def in_sample_features(vectors: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
-    """Features of each row of (id, embedding) against all others."""
+def without_first(neighbours: DataFrame) -> DataFrame:
+    """Neighbours without rank 0, which among equal vectors need not be the row itself; the others move up."""
+    return neighbours.filter("rank > 0").withColumn("rank", F.col("rank") - 1)
+
+
+def in_sample_features(vectors: DataFrame, labels: DataFrame, k: int = 10, strict: bool = False) -> DataFrame:
+    """Features of each row of (id, embedding) against all others; strict leaves out the nearest row instead of the row itself."""
+    if strict:
+        return similarity_features(without_first(knn(vectors, vectors, k + 1)), labels)
     return similarity_features(knn(vectors, vectors, k, exclude_self=True), labels)
 
 

@@ -45,8 +45,13 @@ STOP_WORDS = (
 ).split()
 
 
-def normalised_lexicon(raw: DataFrame, name: Column) -> DataFrame:
-    """(lexicon, prototype, source, similarity, _ordinal): lower-cased and stripped, similarity 0 where it is no number, first row per prototype; empty prototypes dropped."""
+def normalised_lexicon(raw: DataFrame, name: Column, skip: bool = False) -> DataFrame:
+    """(lexicon, prototype, source, similarity, _ordinal): lower-cased and stripped, similarity 0 where it is no number, first row per prototype; empty prototypes dropped.
+
+    A table without these columns raises ValueError, or with skip gives no rows.
+    """
+    if skip and {"prototype", "source", "similarity"} - set(raw.columns):
+        return raw.sparkSession.createDataFrame([], "lexicon string, prototype string, source string, similarity double, _ordinal long")
     require(raw, "prototype", "source", "similarity")
     ordinal = F.col("_ordinal") if "_ordinal" in raw.columns else F.monotonically_increasing_id()
     rows = raw.select(name.alias("lexicon"), F.lower(F.trim("prototype")).alias("prototype"), F.lower(F.trim("source")).alias("source"), F.coalesce(F.col("similarity").try_cast("double"), F.lit(0.0)).alias("similarity"), ordinal.alias("_ordinal"))
@@ -208,9 +213,9 @@ def embedded(df: DataFrame, column: str, out: str = "embedding", embed: Embed =
     return df.withColumn(out, vectors(column))
 
 
-def grown(lexicon: DataFrame, mail: DataFrame, embed: Embed = hashed_embedding, neighbours: int = 100, least: float = 0.7, top: int = 5) -> DataFrame:
-    """The lexicon with generated phrases: mails nearest to each seed, their sentences nearest to it, and those sentences' key phrases; first row per prototype wins."""
-    seeds = lexicon.filter("lower(source) = 'seed'").withColumn("id", F.col("_ordinal"))
+def grown(lexicon: DataFrame, mail: DataFrame, embed: Embed = hashed_embedding, neighbours: int = 100, least: float = 0.7, top: int = 5, strict: bool = False) -> DataFrame:
+    """The lexicon with generated phrases: mails nearest to each seed, their sentences nearest to it, and those sentences' key phrases; first row per prototype wins. strict takes "Seed" in this case only for a seed."""
+    seeds = lexicon.filter("source = 'Seed'" if strict else "lower(source) = 'seed'").withColumn("id", F.col("_ordinal"))
     seed_vectors = embedded(seeds, "prototype", embed=embed).select("id", "embedding")
     mails = embedded(mail.select(F.col("_ordinal").alias("id"), F.concat_ws(" ", text(F.col("subject")), text(F.col("body"))).alias("t")), "t", embed=embed)
     close = knn(seed_vectors, mails, neighbours).select(F.col("neighbour_id").alias("id")).distinct()

@@ -45,6 +45,7 @@ QUERIES = {
     "clean_body_strict": lambda s, d: view(s, d).select("_ordinal", X.clean_body(F.col("body"), strict=True).alias("clean")),
     "thread_ids": lambda s, d: threads(s, d).select("_ordinal", "thread_id", "sequence", "parent_id"),
     "domains_recipients": lambda s, d: view(s, d).select("_ordinal", X.domain(F.col("sender")).alias("sender_domain"), F.array_join(X.domains(F.col("to_list"), F.col("cc_list"), F.col("bcc_list")), ",").alias("domains"), X.recipients(F.col("to_list"), F.col("cc_list"), F.col("bcc_list")).alias("n_recipient"), X.recipients(F.col("to_list"), F.col("cc_list"), F.col("bcc_list"), strict=True).alias("n_recipient_strict")),
+    "domain_to_end": lambda s, d: view(s, d).select("_ordinal", X.domain_to_end(F.col("sender")).alias("domain")),
     "header_addresses": lambda s, d: view(s, d).select("_ordinal", F.array_join(X.addresses(F.col("x_cc")), ",").alias("found")),
     "meta_features": lambda s, d: M.meta_features(view(s, d)),
     "meta_features_strict": lambda s, d: M.meta_features(view(s, d), STRICT),
@@ -178,6 +179,19 @@ CLEAN = rf"""{VIEW}, {REFERENCES}, h AS (SELECT _ordinal, {_strip(f"lower({PLAIN
   b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{_CLOSE})\s*$')) AS hits FROM a),
   c AS (SELECT _ordinal, {_strip("array_to_string(CASE WHEN len(hits) > 0 THEN l[1:hits[1]] ELSE l END, chr(10))")} AS t FROM b),
   d AS (SELECT _ordinal, replace({_strip(f"string_split_regex(t, '{X.THREAD_MARK}')[1]")}, chr(10), ' ') AS body FROM c) SELECT _ordinal, {_strip(ENTITIES)} AS clean FROM d"""
+_BARE = f"replace(lower({PLAIN}), chr(10), ' ')"
+for _p in (X.URL, X.ADDRESS, X.PHONE, X.EMOJI):
+    _BARE = f"regexp_replace({_BARE}, '{_p}', '', 'g')"
+_SINGLE = f"regexp_replace(body, '{WS}+', ' ', 'g')"
+for _c in "!?.,;:":
+    _SINGLE = rf"regexp_replace({_SINGLE}, '\{_c}+', '{_c}', 'g')"
+CLEAN_STRICT = rf"""{VIEW}, {REFERENCES}, h AS (SELECT _ordinal, {_strip(_BARE)} AS body FROM m, refs), a AS (SELECT _ordinal, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM h),
+  b AS (SELECT *, list_filter(range(greatest(0, len(l) - 12), len(l)), lambda i: regexp_matches(l[i + 1], '(?i)^\s*(?:{"|".join(X.CLOSINGS[1:])})\s*$')) AS hits FROM a),
+  c AS (SELECT _ordinal, {_strip("array_to_string(CASE WHEN len(hits) > 0 THEN l[1:hits[1]] ELSE l END, chr(10))")} AS t FROM b),
+  d AS (SELECT _ordinal, {_strip(f"string_split_regex(t, '{X.THREAD_MARK}')[1]")} AS body FROM c) SELECT _ordinal, {_strip(_SINGLE)} AS clean FROM d"""
+# A sentence ends after . ! or ? before white space: such white space becomes a line break first.
+SENTENCES_SQL = rf"""{VIEW}, s AS (SELECT _ordinal AS row, unnest(list_transform(string_split_regex(regexp_replace(coalesce(body, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda x: {_strip('x')})) AS text FROM m),
+  g AS (SELECT text, max(row) AS row FROM s WHERE length(text) BETWEEN 3 AND 200 GROUP BY 1) SELECT text, row, row_number() OVER (ORDER BY row, text) - 1 AS chunk FROM g"""
 _TEXT = "concat_ws(' ', coalesce(subject, ''), coalesce(body, ''))"
 
 
@@ -237,8 +251,10 @@ ORACLE = {
     "signature_cut": SIGNATURE,
     "html_to_text": f"{VIEW}, {REFERENCES} SELECT _ordinal, {PLAIN} AS plain FROM m, refs",
     "clean_body": CLEAN,
+    "clean_body_strict": CLEAN_STRICT,
     "thread_ids": f"{THREADS} SELECT _ordinal, thread_id, row_number() OVER w::INT AS sequence, lag(message_id) OVER w AS parent_id FROM t WINDOW w AS (PARTITION BY thread_id ORDER BY date, _ordinal)",
     "domains_recipients": f"{VIEW} SELECT _ordinal, {DOMAIN} AS sender_domain, array_to_string({DOMAINS}, ',') AS domains, {RECIPIENTS} AS n_recipient, ({RECIPIENTS} + CASE WHEN {NULL_LIST} THEN 1 ELSE 0 END)::INT AS n_recipient_strict FROM m",
+    "domain_to_end": f"{VIEW} SELECT _ordinal, nullif(regexp_extract(coalesce(sender, ''), '@(.+)$', 1), '') AS domain FROM m",
     "header_addresses": rf"{VIEW}, a AS (SELECT _ordinal, list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(x_cc, ''), '([\w.+-]+@[\w.-]+)', 1), lambda x: lower(x)))) AS f FROM m) SELECT _ordinal, CASE WHEN len(f) > 0 THEN array_to_string(f, ',') END AS found FROM a",
     "meta_features": _meta(False),
     "meta_features_strict": _meta(True),

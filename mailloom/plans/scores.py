@@ -14,7 +14,7 @@ from mailloom.operators.lexicon import seed_lexicon, sentence_index
 from mailloom.operators.ordered import with_position, with_running
 from mailloom.operators.topics import TopicModel, named, topic_features, topic_names, topic_summary
 from mailloom.operators.weak import LabelModel, labelling_functions, searched, silver, vote_patterns, voted
-from mailloom.plans.mail import KEYS, keyed, view
+from mailloom.plans.mail import KEYS, SENTENCES_SQL, keyed, view
 from mailloom.session import read_table
 
 SMALL = EngineConfig(min_samples=10)
@@ -80,6 +80,12 @@ def _logistic(s: SparkSession, d: str) -> DataFrame:
     return C.scored(rows, C.fitted(rows, f), f).select("vec_id", "label", F.round("proba", 4).alias("proba"))
 
 
+def _optimum(s: SparkSession, d: str) -> DataFrame:
+    f = [f"lora_{i}" for i in range(64)]
+    rows = _features(s, d)
+    return C.gradient(rows, C.fitted(rows, f), f).select("feature", (F.abs("gradient") < 1e-3).alias("at_optimum"))
+
+
 def _out_of_fold(s: SparkSession, d: str) -> DataFrame:
     f = [f"lora_{i}" for i in range(64)]
     return C.out_of_fold(_features(s, d), f, "vec_id").select("vec_id", "fold", F.round("cv_proba", 4).alias("cv_proba"))
@@ -123,6 +129,8 @@ QUERIES = {
     "prf_metrics": lambda s, d: rounded(E.rates(E.confusion(scored(s, d)))),
     "class_report": lambda s, d: rounded(E.per_class(scored(s, d)), "class", "support"),
     "roc_points": lambda s, d: rounded(E.roc_points(scored(s, d))),
+    "roc_corners": lambda s, d: rounded(E.roc_corners(scored(s, d))),
+    "similarity_features_strict": lambda s, d: rounded(K.in_sample_features(vectors(s, d), labels(s, d), strict=True), "id"),
     "pr_curve": lambda s, d: rounded(E.pr_points(scored(s, d))),
     "auc_rank": lambda s, d: rounded(E.auc(scored(s, d))),
     "average_precision": lambda s, d: rounded(E.average_precision(scored(s, d))),
@@ -154,6 +162,7 @@ QUERIES = {
     "weak_posterior": _posterior,
     "label_model": _label_model,
     "logistic_scores": _logistic,
+    "logistic_optimum": _optimum,
     "out_of_fold": _out_of_fold,
     "group_importance": _importance,
     "topics_fit": _topics,
@@ -214,6 +223,8 @@ ORACLE = {
     "prf_metrics": f"{SCORED}, r AS (SELECT *, {RATES} FROM c) SELECT tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, tn::DOUBLE AS tn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM r",
     "class_report": f"{SCORED} SELECT k AS class, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, tp + fn AS support FROM (SELECT 1 AS k, tp, fp, fn FROM c UNION ALL SELECT 0, tn, fn, fp FROM c)",
     "roc_points": f"{CURVE} SELECT round(score, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM k UNION ALL SELECT NULL, 0, 0",
+    "roc_corners": f"{CURVE}, l AS (SELECT *, lag(tp) OVER w AS tp0, lead(tp) OVER w AS tp2, lag(fp) OVER w AS fp0, lead(fp) OVER w AS fp2 FROM k WINDOW w AS (ORDER BY score DESC)) SELECT round(score, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM l WHERE tp0 IS NULL OR tp2 IS NULL OR tp0 + tp2 <> 2 * tp OR fp0 + fp2 <> 2 * fp UNION ALL SELECT NULL, 0, 0",
+    "similarity_features_strict": f"{_neighbours('true', 'true', 11, False).replace('rank < 11', 'rank BETWEEN 1 AND 10')} {FEATURES}",
     "pr_curve": f"{CURVE} SELECT round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall, round(2 * tp / (tp + fp + p), 6) AS f1 FROM k",
     "auc_rank": f"{CURVE} SELECT round(auc_roc, 6) AS auc_roc FROM ({AUC})",
     "average_precision": f"{CURVE} SELECT round(sum((tp - coalesce(tp0, 0)) / p * tp / (tp + fp)), 6) AS average_precision FROM (SELECT *, lag(tp) OVER (ORDER BY score DESC) AS tp0 FROM k)",
@@ -242,6 +253,8 @@ ORACLE = {
     "semantic_max": "WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings) SELECT q.vec_id AS id, concat('t', r.vec_id % 3) AS lexicon, round(max(array_cosine_similarity(q.x, r.x)), 6) AS similarity FROM e q, e r GROUP BY ALL",
     "near_dup_removed": _near_sql(),
     "weak_posterior": _posterior_sql(),
+    "sentence_chunks": SENTENCES_SQL,
+    "logistic_optimum": "SELECT concat('lora_', range) AS feature, true AS at_optimum FROM range(64) UNION ALL SELECT '1', true",
     "topic_summary": rf"""{PRED}, d AS (SELECT topic, subject FROM p JOIN emails USING (message_id) WHERE subject IS NOT NULL AND topic >= 0), w AS (SELECT topic, unnest(regexp_extract_all(lower(subject), '\p{{L}}{{3,}}')) AS w FROM d),
       f AS (SELECT topic, w, count(*) AS tf FROM w GROUP BY ALL), x AS (SELECT *, sum(tf) OVER (PARTITION BY w) AS f FROM f), a AS (SELECT avg(s) AS a FROM (SELECT sum(tf) AS s FROM f GROUP BY topic)),
       r AS (SELECT topic, w, row_number() OVER (PARTITION BY topic ORDER BY tf * ln(1 + a / f) DESC, w) AS n FROM x, a), g AS (SELECT topic, string_agg(w, '_' ORDER BY n) AS name FROM r WHERE n <= 4 GROUP BY 1)
