@@ -15,6 +15,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.functions.text import let
 from mailloom.session import scratch_path, spread, written
 
 BLOCK, TILE = 65_536, 256  # a tile of similarities: 128 MB
@@ -22,9 +23,9 @@ BLOCK, TILE = 65_536, 256  # a tile of similarities: 128 MB
 
 def normalised(embedding: Column) -> Column:
     """Unit length in double precision; a zero vector stays zero, null stays null."""
-    x = F.transform(embedding, lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(x, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    divided = lambda x: let(norm(x), lambda n: F.transform(x, lambda v: F.when(n > 0, v / n).otherwise(v)))
+    return let(F.transform(embedding, lambda v: v.cast("double")), divided)
 
 
 def inner(a: Column, b: Column) -> Column:
