@@ -22,6 +22,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.functions.text import let
 from mailloom.session import scratch_path
 
 BITS, TABLES, PROBE = 64, 4, 2
@@ -118,7 +119,7 @@ def usable(vectors: DataFrame, width: int = WIDTH) -> DataFrame:
     # A null or non-finite element makes the sum of squares null or non-finite.
     kept = vectors.filter(F.size("embedding") == width).select("vec_id", x.alias("x"), F.sqrt(square).alias("norm"), *[c for c in ("label",) if c in vectors.columns])
     kept = kept.filter("norm > 0 and norm < double('infinity') and not isnan(norm) and vec_id is not null")
-    return kept.select("vec_id", F.transform("x", lambda v: v / F.col("norm")).alias("embedding")).dropDuplicates(["vec_id"])
+    return kept.select("vec_id", let(F.col("norm"), lambda n: F.transform("x", lambda v: v / n)).alias("embedding")).dropDuplicates(["vec_id"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
