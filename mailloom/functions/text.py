@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r\x{85}\p{Z}]"
 NOT_SPACE = r"[^\t-\r\x{85}\p{Z}]"
+# What counts as a link, an address, a phone number and an emoji when entities are removed.
 URL = rf"(?i)(https?://{NOT_SPACE}+|www\.{NOT_SPACE}+)"
 ADDRESS = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+"
 PHONE = r"\d{3}-\d{3}-\d{4}"
@@ -23,6 +24,7 @@ THREAD_MARK = (
 )
 # Closing lines of a message.
 CLOSINGS = ["thanks", "thank you", "many thanks", "thx", "regards", "best regards", "kind regards", "best", "all the best", "sincerely", "cheers", "br", "rgds", "talk soon"]
+# What shows that a body holds markup.
 MARKUP = r"(?i)</?[a-z][\s\S]*?>|&(?:amp|lt|gt|quot|nbsp);"
 REFERENCE = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
 # Named and numeric references by the rules of HTML 5: names that end in a semicolon; 80 to 9F mean Windows 1252.

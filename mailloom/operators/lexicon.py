@@ -63,10 +63,16 @@ def seed_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lexicon string, prototype string, source string, similarity double, _ordinal long")
 
 
+TERMS = 100_000  # prototypes of all lexicons that may come to the driver
+
+
 def terms(lexicon: DataFrame) -> dict[str, dict[str, list[str]]]:
-    """Prototypes by lexicon and lower-cased source; lexicons are small dictionaries."""
+    """Prototypes by lexicon and lower-cased source; lexicons are small dictionaries, of TERMS terms in all at most."""
     out: dict[str, dict[str, list[str]]] = {}
-    for r in lexicon.orderBy("lexicon", "_ordinal").collect():
+    rows = lexicon.limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
+        raise ValueError(f"a lexicon of more than {TERMS} terms is no small dictionary")
+    for r in sorted(rows, key=lambda r: (r["lexicon"], r["_ordinal"])):
         out.setdefault(r["lexicon"], {}).setdefault(r["source"].lower(), []).append(r["prototype"])
     return out
 

@@ -141,3 +141,39 @@ def test_entry_without_the_llm_package(monkeypatch):
     monkeypatch.setattr(entry.importlib, "import_module", lambda m: (_ for _ in ()).throw(ModuleNotFoundError(name=m)) if m.startswith("mailloom.llm") else real(m))
     names = set(entry.queries())
     assert "p1_found" in names and "p3_found" not in names and set(entry.oracle_sql()) <= names
+
+
+def test_gaps_of_mails_without_a_sender_and_bounded_state(spark, tmp_path):
+    rows = [(1, None, "2024-01-01 00:00:00"), (2, None, "2024-01-01 00:00:07"), (3, "a", "2024-01-01 00:00:01"), (4, "a", "2024-01-01 00:00:05")]
+    spark.createDataFrame(rows, "id long, sender string, t string").select("id", "sender", F.col("t").cast("timestamp").alias("received_at")).write.parquet(f"{tmp_path}/in")
+    for name, forget in (("gaps_all", None), ("gaps_bounded", "90 days")):
+        s = spark.readStream.schema("id long, sender string, received_at timestamp").parquet(f"{tmp_path}/in")
+        streams.sender_gaps(s, forget=forget).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        assert {(r["id"], r["gap_seconds"]) for r in spark.table(name).collect()} == {(1, None), (2, 7.0), (3, None), (4, 4.0)}
+
+
+def test_a_model_is_loaded_again_when_its_version_changes():
+    versions, loads = iter([1, 1, 2, 2]), []
+    scored = streams.with_refreshed(lambda: loads.append(1) or len(loads), lambda: next(versions), lambda rows, model: (rows, model))
+    assert [scored(k) for k in range(4)] == [(0, 1), (1, 1), (2, 2), (3, 2)]
+
+
+def test_scoring_gives_silver_labels_or_zero(spark, tmp_path, caplog):
+    from mailloom import pipelines
+    from mailloom.operators.lexicon import hashed_embedding, seed_lexicon
+    from mailloom.operators.weak import LabelModel, labelling_functions
+    from mailloom.sources.files import save
+
+    lexicon = seed_lexicon(spark)
+    save(lexicon, f"{tmp_path}/lexicon.parquet")
+    mail = spark.createDataFrame([(1, "Urgent", "please send the invoice"), (2, "x", "nothing")], "_ordinal long, subject string, body string")
+    vectors = pipelines.embedded(mail.select(F.col("_ordinal").alias("id"), F.col("body").alias("t")), "t").select("id", "embedding")
+    names = list(labelling_functions(lexicon))
+    model = LabelModel(names, [[[0.6, 0.2], [0.2, 0.6]]] * len(names))
+    models = pipelines.Models(str(tmp_path), model, None, ["a"], 0.5)
+    got = {r["_ordinal"]: r["silver_label"] for r in pipelines.silver_labels(mail, vectors, models, hashed_embedding).collect()}
+    assert got == {1: 1, 2: 0} and "no silver labels" not in caplog.text
+    broken = pipelines.Models(str(tmp_path / "none"), model, None, ["a"], 0.5)
+    assert {r["silver_label"] for r in pipelines.silver_labels(mail, vectors, broken, hashed_embedding).collect()} == {0} and "no silver labels" in caplog.text
+    with pytest.raises(ValueError):
+        pipelines.score(mail, pipelines.Models(str(tmp_path), model, None, [], 0.5))
