@@ -57,7 +57,7 @@ NO_TOWN = "ASK|SINCE|BECAUSE|WHENEVER|ALTHOUGH|UNLESS|GIVEN|SO|AS|IF|NOW|WHILE|E
 _WORD = r"[A-Z][A-Za-z'’]+"
 _PLACE = rf"(?:,?{GAP}+[A-Z]{{2}}(?:{GAP}+\d{{5}}(?:-\d{{4}})?)?(?![\w]))"
 ADDRESS = re.compile(
-    rf"""(?<![\w.,/#-])\d{{1,5}}[A-Z]?{GAP}+(?:(?:[NSEW]|NE|NW|SE|SW|North|South|East|West|Old|New)\.?{GAP}+)?(?!(?:{NO_STREET})\b)(?:(?!(?:{STREET_TYPES})\b){_WORD}{GAP}+){{1,3}}(?:{STREET_TYPES.replace('|', '|')}|{STREET_TYPES.upper()})\b\.?
+    rf"""(?<![\w.,/#-])\d{{1,5}}[A-Z]?{GAP}+(?:(?:[NSEW]|NE|NW|SE|SW|North|South|East|West|Old|New)\.?{GAP}+)?(?!(?:{NO_STREET})\b)(?:(?!(?:{STREET_TYPES})\b){_WORD}{GAP}+){{1,3}}(?:{STREET_TYPES}|{STREET_TYPES.upper()})\b\.?
         (?:,?{GAP}*(?:(?:Suite|Ste\.?|Apt\.?|Apartment|Unit|Room|Floor|SUITE|APT|UNIT){GAP}+[\dA-Z]+|\#{GAP}?\w+))?
         (?:,{GAP}*(?!(?:{NO_TOWN})\b){_WORD}(?:{GAP}(?!(?:{NO_TOWN})\b)[A-Z][a-z]+)?{_PLACE}?|{_PLACE})?
     | \b[A-Z][A-Za-zäöüß]+(?:weg|straße|strasse|str\.|platz|allee|gasse|WEG|STRASSE|PLATZ){GAP}+\d{{1,4}}[a-zA-Z]?\b(?:,{GAP}*\d{{5}}{GAP}+[A-ZÄÖÜ][\wäöüß]+)?
