@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+from itertools import product
+from operator import add
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel
@@ -68,7 +70,88 @@ class TopicModel:
         return model
 
 
-def topic_features(rows: DataFrame, model: TopicModel | None, vectors: DataFrame) -> DataFrame:
+CELLS = 50_000  # dense cells that the driver may join to topics
+
+
+class DensityTopics:
+    """Topics of any shape and number: connected dense cells of a grid over the principal components; rows of other cells are noise.
+
+    A cell is dense with at least `least` rows; dense cells that touch, at corners too, are one topic, numbered by size. While no
+    cell is dense the cells grow (`growth` times, `tries` times in all); if none is dense then, fit raises ValueError.
+    Rows are counted per cell by aggregates combined before the shuffle; only dense cells, of which more than CELLS
+    are refused, come to the driver. The probability is a cell's share of its topic's largest count.
+    """
+
+    def __init__(self, components: int = 5, least: int = 5, cell: float | None = None, growth: float = 2.0, tries: int = 3) -> None:
+        self.components, self.least, self.cell, self.growth, self.tries = components, least, cell, growth, tries
+
+    def _rows(self, vectors: DataFrame) -> DataFrame:
+        return vectors.filter("embedding is not null").select("id", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
+
+    def _celled(self, vectors: DataFrame) -> DataFrame:
+        reduced = self.reduce.transform(self._rows(vectors)).select("id", vector_to_array("x").alias("x"))
+        return reduced.select("id", F.transform("x", lambda v: F.floor(v / self.cell)).alias("cell"))
+
+    def fit(self, vectors: DataFrame) -> DensityTopics:
+        rows = self._rows(vectors)
+        first = rows.select(F.size(vector_to_array("v")).alias("w")).first()
+        if first is None:
+            raise ValueError("no vectors to fit topics on")
+        self.reduce = PCA(k=min(self.components, first["w"]), inputCol="v", outputCol="x").fit(rows)
+        if self.cell is None:
+            x = vector_to_array("x")
+            spread = self.reduce.transform(rows).select(*[F.stddev_pop(x[i]).alias(str(i)) for i in range(self.reduce.getK())]).first()
+            self.cell = max(float(np.mean(spread)) / 2, 1e-9)
+        for attempt in range(self.tries):
+            self.cell *= self.growth if attempt else 1.0
+            dense = self._celled(vectors).groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= self.least).limit(CELLS + 1).collect()
+            if len(dense) > CELLS:
+                raise ValueError(f"more than {CELLS} dense cells: fewer components or larger cells are needed")
+            if dense:
+                self.cells = self._joined({tuple(r["cell"]): r["n"] for r in dense})
+                return self
+        raise ValueError("every row is noise")
+
+    @staticmethod
+    def _joined(dense: dict[tuple[int, ...], int]) -> list[tuple[list[int], int, float]]:
+        """(cell, topic, probability) of the dense cells, by a walk over touching cells."""
+        groups, seen = [], set()
+        steps = [s for s in product((-1, 0, 1), repeat=len(next(iter(dense)))) if any(s)]
+        for start in sorted(dense):
+            if start in seen:
+                continue
+            seen.add(start)
+            group, todo = [], [start]
+            while todo:
+                cell = todo.pop()
+                group.append(cell)
+                for step in steps:
+                    other = tuple(map(add, cell, step))
+                    if other in dense and other not in seen:
+                        seen.add(other)
+                        todo.append(other)
+            groups.append(group)
+        groups.sort(key=lambda g: (-sum(dense[c] for c in g), g[0]))
+        return [(list(c), t, dense[c] / max(dense[x] for x in g)) for t, g in enumerate(groups) for c in g]
+
+    def assign(self, vectors: DataFrame) -> DataFrame:
+        """(id, topic, topic_probability) of the rows with a vector; -1 and 0 outside dense cells."""
+        cells = vectors.sparkSession.createDataFrame(self.cells, "cell array<long>, topic int, topic_probability double")
+        return self._celled(vectors).join(F.broadcast(cells), "cell", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"), F.coalesce("topic_probability", F.lit(0.0)).alias("topic_probability"))  # CELLS rows at most
+
+    def save(self, folder: str) -> None:
+        self.reduce.write().overwrite().save(f"{folder}/components")
+        Documents(SparkSession.active(), folder).write("density.json", json.dumps({"cell": self.cell, "cells": self.cells}))
+
+    @classmethod
+    def load(cls, folder: str) -> DensityTopics:
+        info = json.loads(Documents(SparkSession.active(), folder).read("density.json"))
+        model = cls(cell=info["cell"])
+        model.reduce, model.cells = PCAModel.load(f"{folder}/components"), [tuple(c) for c in info["cells"]]
+        return model
+
+
+def topic_features(rows: DataFrame, model: TopicModel | DensityTopics | None, vectors: DataFrame) -> DataFrame:
     """(id) with topic and topic_probability; rows without a vector, or a missing model, get -1 and 0."""
     if model is None:
         log.warning("no topic model: all rows are noise")

@@ -20,7 +20,7 @@ from mailloom.operators import monitor
 from mailloom.operators.deliveries import exactly_once
 from mailloom.operators.lexicon import Embed, embedded, grown, hashed_embedding, seed_lexicon
 from mailloom.operators.splits import thread_split
-from mailloom.operators.topics import TopicModel, topic_features
+from mailloom.operators.topics import DensityTopics, TopicModel, topic_features
 from mailloom.operators.weak import LabelModel, final_label, labelling_functions, searched, silver, voted
 from mailloom.schemas import SIMILARITY
 from mailloom.session import Documents, written
@@ -39,13 +39,14 @@ class Models:
     classifier: PipelineModel
     features: list[str]
     threshold: float
-    topics: TopicModel | None = None
+    topics: TopicModel | DensityTopics | None = None
 
     @classmethod
     def load(cls, folder: str) -> Models:
         """Raises FileNotFoundError if the folder holds no trained models."""
         info = json.loads(Documents(SparkSession.active(), folder).read("model.json"))
-        return cls(folder, LabelModel.load(f"{folder}/labels.json"), PipelineModel.load(f"{folder}/classifier"), info["features"], info["threshold"], TopicModel.load(f"{folder}/topics"))
+        kind = DensityTopics if Documents(SparkSession.active(), f"{folder}/topics").exists("density.json") else TopicModel
+        return cls(folder, LabelModel.load(f"{folder}/labels.json"), PipelineModel.load(f"{folder}/classifier"), info["features"], info["threshold"], kind.load(f"{folder}/topics"))
 
 
 def build_dataset(emails: DataFrame, gold: DataFrame, folder: str | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -63,7 +64,7 @@ def build_dataset(emails: DataFrame, gold: DataFrame, folder: str | None = None,
     return out
 
 
-def features(mail: DataFrame, vectors: DataFrame, reference: DataFrame, labels: DataFrame, topics: TopicModel | None, config: EngineConfig, in_sample: bool) -> DataFrame:
+def features(mail: DataFrame, vectors: DataFrame, reference: DataFrame, labels: DataFrame, topics: TopicModel | DensityTopics | None, config: EngineConfig, in_sample: bool) -> DataFrame:
     """Meta, similarity and topic features and the vector's values, joined by _ordinal, nulls as 0; the vectors are (id, embedding)."""
     meta = M.meta_features(mail, config).drop("message_id").select(F.col("_ordinal").alias("id"), *[F.col(c).cast("double").alias(c) for c in META])
     near = K.in_sample_features(vectors, labels, config.neighbours) if in_sample else K.out_of_sample_features(vectors, reference, labels, config.neighbours)
@@ -84,8 +85,8 @@ def with_semantic(mail: DataFrame, vectors: DataFrame, lexicon: DataFrame, embed
     return mail.join(K.semantic_scores(vectors, terms).withColumnRenamed("id", "_ordinal"), "_ordinal", "left")
 
 
-def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embed: Embed = hashed_embedding, grow: bool = False, reuse: bool = False) -> tuple[DataFrame, Models]:
-    """Lexicons, weak labels, features, out-of-fold scores, threshold and final model; writes dataset.parquet and the models. reuse keeps a saved classifier of the same features."""
+def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embed: Embed = hashed_embedding, grow: bool = False, reuse: bool = False, topic_model: TopicModel | DensityTopics | None = None) -> tuple[DataFrame, Models]:
+    """Lexicons, weak labels, features, out-of-fold scores, threshold and final model; writes dataset.parquet and the models. reuse keeps a saved classifier of the same features; topic_model is how topics are found (default: k-means with noise)."""
     spark = mail.sparkSession
     mail = written(cleaned(mail, config), "train-mail")
     vectors = written(embedded(mail.select(F.col("_ordinal").alias("id"), "_clean"), "_clean", embed=embed).select("id", "embedding"), "train-vectors")
@@ -98,7 +99,7 @@ def train(mail: DataFrame, folder: str, config: EngineConfig = EngineConfig(), e
     marked = silver(voted(mail, voters), label_model, config.strict_reference)
     marked = written(marked.withColumn("label", F.coalesce(final_label(F.col("gold_labels"), F.col("silver_label")), F.lit(0))), "marked")
     labels = marked.select(F.col("_ordinal").alias("id"), "label")
-    topics = TopicModel(seed=config.seed).fit(vectors)
+    topics = (topic_model or TopicModel(seed=config.seed)).fit(vectors)
     table = written(features(mail, vectors, vectors, labels, topics, config, in_sample=True).join(labels, "id"), "features")
     names = [c for c in table.columns if c not in ("id", "label")]
     folds = written(C.out_of_fold(table, names, "id", config=config), "oof")

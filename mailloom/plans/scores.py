@@ -12,7 +12,7 @@ from mailloom.operators import knn as K
 from mailloom.operators import monitor as M
 from mailloom.operators.lexicon import seed_lexicon, sentence_index
 from mailloom.operators.ordered import with_position, with_running
-from mailloom.operators.topics import TopicModel, named, topic_features, topic_names, topic_summary
+from mailloom.operators.topics import DensityTopics, TopicModel, named, topic_features, topic_names, topic_summary
 from mailloom.operators.weak import LabelModel, labelling_functions, searched, silver, vote_patterns, voted
 from mailloom.plans.mail import KEYS, SENTENCES_SQL, keyed, view
 from mailloom.session import read_table
@@ -166,6 +166,7 @@ QUERIES = {
     "out_of_fold": _out_of_fold,
     "group_importance": _importance,
     "topics_fit": _topics,
+    "topics_density": lambda s, d: DensityTopics().fit(vectors(s, d)).assign(vectors(s, d)),
     "topic_summary": _topic_summary,
     "fitted_patterns": lambda s, d: vote_patterns(voted(view(s, d), labelling_functions(seed_lexicon(s)))).groupBy().agg(F.sum("n").alias("n"), F.count("*").alias("patterns")),
 }

@@ -1,5 +1,6 @@
 """Reference behaviour of the core operators on small cases."""
 
+import math
 import random
 
 import pytest
@@ -370,3 +371,28 @@ def test_settings_from_session_and_environment(spark, monkeypatch):
     finally:
         spark.conf.unset("mailloom.strict_reference")
         spark.conf.unset("mailloom.seed")
+
+
+def test_density_topics(spark, tmp_path):
+    rng = random.Random(2)
+    ring = [(math.cos(k / 30) * 5, math.sin(k / 30) * 5, 0.0) for k in range(189)]  # no blob: k-means would cut it
+    blob = [(rng.gauss(0, 0.1), rng.gauss(0, 0.1), 0.0) for _ in range(80)]
+    alone = [(40.0, 0.0, 0.0), (0.0, 40.0, 0.0)]
+    rows = [(i, list(p)) for i, p in enumerate(ring + blob + alone)] + [(900, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    model = topics.DensityTopics(components=2, least=3, cell=1.0).fit(v)
+    got = {r["id"]: (r["topic"], r["topic_probability"]) for r in model.assign(v).collect()}
+    main = [got[i][0] for i in range(189)]
+    assert max(main.count(t) for t in set(main)) > 170 and len({got[i][0] for i in range(189, 269) if got[i][0] >= 0}) == 1
+    assert got[269] == got[270] == (-1, 0.0) and 900 not in got
+    assert not ({got[i][0] for i in range(189, 269)} & set(main)) - {-1}
+    model.save(str(tmp_path))
+    assert topics.DensityTopics.load(str(tmp_path)).assign(v).exceptAll(model.assign(v)).isEmpty()
+    assert topics.topic_features(v.select("id"), model, v).filter("id = 900 and topic = -1").count() == 1
+    # Every row is noise in small cells: the cells grow until some are dense, or it is an error.
+    grown = topics.DensityTopics(components=2, least=3, cell=1e-3, growth=1000.0, tries=2).fit(v)
+    assert grown.cell == pytest.approx(1.0) and grown.assign(v).filter("topic >= 0").count() > 200
+    with pytest.raises(ValueError):
+        topics.DensityTopics(components=2, least=3, cell=1e-6, growth=1.5, tries=3).fit(v)
+    with pytest.raises(ValueError):
+        topics.DensityTopics().fit(v.limit(0))
