@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from mailloom.llm import overlap
@@ -159,3 +160,37 @@ def test_overlap_without_one_side(spark):
     splits = spark.createDataFrame([(1, "train"), (2, None)], "id long, split_name string")
     assert cross_split_pairs(emails, splits).count() == 0
     assert split_records(emails, splits).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_index_loses_no_pair(monkeypatch, seed):
+    monkeypatch.setattr(overlap, "ENTRIES_AT_ONCE", 7)
+    rng = np.random.default_rng(seed)
+    order = rng.integers(1, 2**63, 3000, dtype=np.uint64)  # the rarest first
+    sets = []
+    for _ in range(160):
+        base = sets[rng.integers(len(sets))] if sets and rng.random() < 0.7 else rng.choice(3000, rng.choice([1, 3, 12, 40, 120]), replace=False)
+        kept = base[rng.random(len(base)) < rng.choice([0.7, 0.9, 1])]
+        sets.append(np.unique(np.concatenate([kept if len(kept) else base, rng.choice(3000, rng.choice([0, 0, 1, 5]), replace=False)])))
+    n = np.array([len(x) for x in sets])
+    held = overlap._early(n, 0.6)
+    early = [order[x[:k]] for x, k in zip(sets, held)]
+    index = overlap.Index(np.arange(80), n[:80], np.concatenate(early[:80]), 0.6)
+    got = [(80 + a, b) for y, x in index.candidates(n[80:], np.concatenate(early[80:])) for a, b in zip(y.tolist(), x.tolist())]
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(80, 160) for b in range(80)}
+    want = {(a, b) for (a, b), s in shared.items() if s >= 0.6 * (n[a] + n[b] - s)}
+    assert len(got) == len(set(got)) and want and want <= set(got)
+
+
+def test_training_texts_without_similar_ones_are_not_scanned(spark, monkeypatch):
+    """Texts of one length and template: only pairs that are similar, or nearly so, reach the automata, however many there are."""
+    for name, value in (("ENTRIES_A_SHARD", 2000), ("PASSAGES_A_SLICE", 3000)):
+        monkeypatch.setattr(overlap, name, value)
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(40)]
+    texts = [template + [f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(300)]
+    texts += [t[:-2] + ["new", "end"] for t in texts[:20]]
+    rows = [(i < 100, i, " ".join(t), len(shingles(" ".join(t)))) for i, t in enumerate(texts)]
+    found = overlap.candidates(spark.createDataFrame(rows, "evaluation boolean, rep long, line string, n int"), 3, 0.6)
+    got = [(r["train"], r["evaluation"]) for r in found.collect()]
+    assert set(got) == {(300 + i, i) for i in range(20)} and len(got) == 20
