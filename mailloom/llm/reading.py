@@ -16,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ LEAST_CHARS = 150
 PLENTY, MARGIN = 0.2, 0.3  # share of function words of which nothing else is asked; log units below the labelled texts' lowest spelling
 FOLDS, TREES, DEPTH, RATE, BINS, LEAF = 5, 80, 4, 0.1, 32, 8
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-SEGMENT = re.compile(r"(?<=[.!?])\s+|[\r\n]+|(?<=[a-z]) and (?=[A-Z])")
+ASCII_TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)?")  # the same in lower-cased ASCII
+SEGMENT = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=[\r\n])[\r\n]*|(?<=[a-z] )and (?=[A-Z]))")  # a blank first, which is searched for fast
 MARKUP = re.compile(r"<[^<>]{1,200}>|https?://\S+|\S+@\S+")
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -54,16 +56,15 @@ def analysed(text: str | None, least: int = LEAST_CHARS) -> tuple[list[list[str]
     if not text or len(text) < least:
         return None
     plain = MARKUP.sub(" ", text) if "<" in text or "@" in text or "://" in text else text
-    segments = [w for s in SEGMENT.split(plain) if len(w := TOKEN.findall(s.lower())) >= 2]
-    letters, digits = sum(len(w) for s in segments for w in s), sum(map(plain.count, "0123456789"))
+    found = (ASCII_TOKEN if plain.isascii() else TOKEN).findall
+    segments = [w for s in SEGMENT.split(plain) if len(w := found(s.lower())) >= 2]
+    letters, digits = sum(map(len, chain.from_iterable(segments))), sum(map(plain.count, "0123456789"))
     if letters + digits < 0.6 * least or digits > 0.3 * letters:
         return None
-    seen, get = [0] * len(FUNCTION_WORDS), LANGUAGE.get
-    for s in segments:
-        for w in s:
-            if languages := get(w):
-                for k in languages:
-                    seen[k] += 1
+    seen = [0] * len(FUNCTION_WORDS)
+    for languages in filter(None, map(LANGUAGE.get, chain.from_iterable(segments))):
+        for k in languages:
+            seen[k] += 1
     other = max(seen[1:])
     return (segments, digits, plain.count(","), len(plain)) if other <= seen[0] or other < 3 else None
 
@@ -74,17 +75,19 @@ NAMES = [
 ]
 NAN = float("nan")
 EN = frozenset(FUNCTION_WORDS["en"])
+SIZES = np.array([6, 12, 22])  # words, where the classes of segments begin
 
 
 def features(parts: tuple[list[list[str]], int, int, int], grades: dict[str, float]) -> list[float]:
     segments, digits, commas, chars = parts
-    sizes = np.array([len(s) for s in segments], float)
-    flat = [w for s in segments for w in s]
-    lengths = np.fromiter(map(len, flat), float, len(flat))
-    get = grades.get
-    g = np.array([get(w, NAN) for w in flat])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-    known = ~np.isnan(g)
+    many = [len(s) for s in segments]
+    sizes = np.array(many, float)
+    flat = list(chain.from_iterable(segments))
+    m = len(flat)
+    lengths = np.fromiter(map(len, flat), float, m)
+    g = np.fromiter(map(grades.get, flat, repeat(NAN)), float, m)
+    starts = np.array([0, *accumulate(many[:-1])])
+    known = g == g
     total = np.add.reduceat(np.where(known, g, 0.0), starts)
     n = np.add.reduceat(known.astype(float), starts)
     weight = np.add.reduceat(lengths, starts) + sizes
@@ -94,15 +97,19 @@ def features(parts: tuple[list[list[str]], int, int, int], grades: dict[str, flo
     mean = float(grade @ share)
     order = np.argsort(grade)
     cum = np.cumsum(share[order])
-    bands = np.bincount(np.clip(np.rint(grade), 1, 5).astype(int), share, 6)[1:]
-    bins = np.bincount(np.digitize(sizes, [6, 12, 22]), weight, 4) / weight.sum()
-    pairs = [len(set(a) & set(b)) / min(len(a), len(b)) for a, b in zip(segments, segments[1:])]
-    m = len(flat)
+    bands = np.bincount(np.minimum(np.maximum(np.rint(grade), 1), 5).astype(int), share, 6)[1:]
+    whole = weight.sum()
+    bins = np.bincount(SIZES.searchsorted(sizes, "right"), weight, 4) / whole
+    sets = list(map(set, segments))
+    pairs = [len(a & b) / min(x, y) for a, b, x, y in zip(sets, sets[1:], many, many[1:])]
+    apart = sizes - m / len(sizes)
+    low, high = cum.searchsorted((0.25, 0.75))
+    count = np.count_nonzero
     return [
-        np.log1p(m), lengths.mean(), (lengths >= 7).mean(), (lengths >= 10).mean(), (lengths >= 13).mean(), float(sizes @ weight / weight.sum()), sizes.std(),
-        sum(w in EN for w in flat) / m, sum(w in SUBORDINATORS for w in flat) / m, commas / m, digits / chars,
-        len(set(flat)) / m ** 0.8, float(np.mean(pairs)) if pairs else 0.0, mean, float(np.sqrt(share @ (grade - mean) ** 2)),
-        float(grade[order][np.searchsorted(cum, 0.25)]), float(grade[order][min(np.searchsorted(cum, 0.75), len(cum) - 1)]), *bands, *bins, 1 - known.mean(),
+        np.log1p(m), lengths.sum() / m, count(lengths >= 7) / m, count(lengths >= 10) / m, count(lengths >= 13) / m, float(sizes @ weight / whole), math.sqrt((apart * apart).sum() / len(sizes)),
+        sum(map(EN.__contains__, flat)) / m, sum(map(SUBORDINATORS.__contains__, flat)) / m, commas / m, digits / chars,
+        len(set().union(*sets)) / m ** 0.8, float(np.array(pairs).sum() / len(pairs)) if pairs else 0.0, mean, math.sqrt(share @ (grade - mean) ** 2),
+        float(grade[order[low]]), float(grade[order[min(high, len(cum) - 1)]]), *bands.tolist(), *bins.tolist(), 1 - count(known) / m,
     ]
 
 
@@ -223,7 +230,7 @@ class Model:
     def english(self, parts: tuple) -> bool:
         """Enough English function words, or an English spelling: other languages and scripts have neither."""
         n = sum(map(len, parts[0]))
-        return sum(w in EN for s in parts[0] for w in s) >= PLENTY * n or self.letters.score(parts) >= self.spelled
+        return sum(map(EN.__contains__, chain.from_iterable(parts[0]))) >= PLENTY * n or self.letters.score(parts) >= self.spelled
 
     def bands(self, texts: list[tuple]) -> np.ndarray:
         x = np.array([features(t, self.grades) for t in texts], float).reshape(len(texts), len(NAMES))
